@@ -17,6 +17,7 @@ from tessella.llm.packing import pack, word_encoder
 from tessella.llm.secrets import find_secrets
 from tessella.llm.simhash import near_groups
 from tessella.llm.token_count import count_tokens
+from tessella.llm.toxicity import toxicity
 from tessella.llm.warc import archive_index, write_archive
 
 
@@ -42,6 +43,10 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir))
 
@@ -59,7 +64,7 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_secrets, op3_exact_dedup, op4_warc, op5_html_text, op7_language, op8_packing, op9_simhash, op10_token_count)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_secrets, op3_exact_dedup, op4_warc, op5_html_text, op6_toxicity, op7_language, op8_packing, op9_simhash, op10_token_count)}
 
 
 ORACLE = {
