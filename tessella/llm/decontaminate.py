@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessella.llm._common import field, text_of
 
@@ -81,29 +82,39 @@ def contained(docs: DataFrame, items: DataFrame, least: float = 0.8, words: int
                     out += [(doc, names[k], shared, len(block.held[k]), shared / len(block.held[k])) for k, shared in block.find(text)]
                 if out:
                     columns = list(zip(*out, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(columns[0], like), *map(pa.array, columns[1:])], schema=None, names=[f.name for f in schema]).cast(arrow_schema(like))
-
-        def arrow_schema(like: pa.DataType) -> pa.Schema:
-            return pa.schema([("doc_id", like), ("item_id", item_type), ("n_shared", pa.int64()), ("n_item", pa.int64()), ("containment", pa.float64())])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (like, item_type, pa.int64(), pa.int64(), pa.float64()), strict=True)], names=[f.name for f in schema])
 
         return source.mapInArrow(run, schema)
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
     item_type = to_arrow_type(items.schema[item_col].dataType)
-    parts, block, size = [], [], 0
+    return reduce(DataFrame.unionByName, map(search, item_blocks(items, block_shingles, item_col, item_text_col)))
+
+
+def item_blocks(items: DataFrame, block_shingles: int, item_col: str, item_text_col: str) -> Iterator[list[tuple]]:
+    """The items in blocks of bounded size, one at least."""
+    block, size = [], 0
     for r in items.select(item_col, text_of(item_text_col)).toLocalIterator():
         n = max(1, len(r[1]) // 2)  # no text has more shingles
         if block and size + n > block_shingles:
-            parts.append(search(block))
+            yield block
             block, size = [], 0
         block.append((r[0], r[1]))
         size += n
-    parts.append(search(block))
-    return reduce(DataFrame.unionByName, parts)
+    yield block
+
+
+def clean(docs: DataFrame, items: DataFrame, least: float = 0.8, words: int = 5, block_shingles: int = 2_000_000, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that contain no item; a pass for each block of items, no join."""
+    place = docs.columns.index(text_col)
+
+    def without(docs: DataFrame, rows: list[tuple]) -> DataFrame:
+        sent = docs.sparkSession.sparkContext.broadcast(rows)  # at most block_shingles shingles
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block = Items(sent.value, least, words)
+            for batch in batches:
+                yield batch.filter(pa.array([next(block.find(t or ""), None) is None for t in batch.column(place).to_pylist()], pa.bool_()))
 
+        return docs.mapInArrow(run, docs.schema)
 
-def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of docs that contain no item. doc_id names a row's document: rows that share the id of one that contains an item go as well."""
-    found = contained(docs, items, **options).select(F.col("doc_id").alias("found_id")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["found_id"]), "left_anti")
+    return reduce(without, item_blocks(items, block_shingles, item_col, item_text_col), docs)

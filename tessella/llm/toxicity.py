@@ -142,8 +142,7 @@ class Restorer:
 def char_counts(docs: DataFrame, text_col: str = "text") -> list[tuple[str, int]]:
     """Trigrams of letters within the words of all documents: each task counts its own, the sums are added up.
 
-    Only letters that occur in over a millionth of all places are kept, so at most a million of a handful of letters' trigrams
-    reach the driver, and far fewer in fact.
+    Only trigrams that are over a millionth of all are kept, so fewer than a million reach the driver.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,3 +270,18 @@ def score(docs: DataFrame, model: tuple, least: float = 0.5) -> DataFrame:
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs, fit(docs, labels))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, whose score is under least; one pass, no join."""
+    bias, weights, counts = fit(docs, labels)
+    sent = docs.sparkSession.sparkContext.broadcast((bias, {f: w for f, w in weights.items() if abs(w) > 1e-4}, counts))
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b, w, c = sent.value
+        scorer = Scorer(b, w, CharModel(c))
+        for batch in batches:
+            yield batch.filter(pa.array([scorer.score(t or "") < least for t in batch.column(place).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
