@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm._common import field, text_of
+from tessella.llm._common import field, materialize, text_of
 from tessella.llm.token_count import Memo
 
 #: Symbols and the letters that they may stand for.
@@ -190,35 +190,22 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
 
-def train(rows: list[tuple[set[str], int]], least_rows: int = 4, most_features: int = 2000, rounds: int = 600, decay: float = 0.0005) -> tuple[float, dict[str, float]]:
-    """(bias, weights) of a logistic regression with L2 decay by gradient steps with momentum. rows: features and labels."""
+def train(rows: list[tuple[list[int], int]], kept: list[tuple[str, int, int]], rounds: int = 600, decay: float = 0.0005) -> tuple[float, dict[str, float]]:
+    """(bias, weights) of a logistic regression with L2 decay by gradient steps with momentum.
+
+    rows: places in kept of a row's features, and its label. kept: (feature, clean rows, toxic rows that have it).
+    """
     toxic = sum(y for _, y in rows)
     clean = len(rows) - toxic
     if not toxic or not clean:
         return (0.0 if not rows else 40.0 if toxic else -40.0), {}
-    seen: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-    for features, y in rows:
-        for f in features:
-            seen[f][y] += 1
-
-    def gain(f: str) -> float:
-        """Log-likelihood ratio of the label given the feature."""
-        n0, n1 = seen[f]
-        out = 0.0
-        for k, base in ((n1, toxic), (n0, clean)):
-            if k:
-                out += k * math.log(k / ((n0 + n1) * base / len(rows)))
-        return out
-
-    kept = sorted((f for f, (n0, n1) in seen.items() if n1 >= least_rows and n1 * clean > 3 * n0 * toxic), key=lambda f: (-gain(f), f))[:most_features]
     if not kept:
         return math.log(toxic / clean), {}
-    at = {f: i for i, f in enumerate(kept)}
     x = np.zeros((len(rows), len(kept)), np.float32)
-    for r, (features, _) in enumerate(rows):
-        x[r, [at[f] for f in features if f in at]] = 1
+    for r, (places, _) in enumerate(rows):
+        x[r, places] = 1
     y = np.array([y for _, y in rows], np.float32)
-    ratios = [math.log((seen[f][1] + 0.5) / toxic) - math.log((seen[f][0] + 0.5) / clean) for f in kept]
+    ratios = [math.log((n1 + 0.5) / toxic) - math.log((n0 + 0.5) / clean) for _, n0, n1 in kept]
     w, b, dw, db = 0.5 * np.array(ratios, np.float32), np.float32(math.log(toxic / clean)), 0, 0  # starts at half the log-odds of each
     rate = 4.0 / max(1.0, float(x.sum(1).mean() + 1))
     for _ in range(rounds):
@@ -226,29 +213,56 @@ def train(rows: list[tuple[set[str], int]], least_rows: int = 4, most_features:
         dw = 0.9 * dw - rate * (x.T @ error / toxic + decay * w)
         db = 0.9 * db - rate * error.mean()
         w, b = w + dw, b + db
-    return float(b), {f: float(w[i]) for f, i in at.items()}
+    return float(b), {f: float(w[i]) for i, (f, _, _) in enumerate(kept)}
 
 
 def held_out(id_col: str = "doc_id"):
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(5)) == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_toxic: int = 2000, train_clean: int = 6000) -> tuple[float, dict[str, float], list[tuple[str, int]]]:
-    """(bias, weights, character counts). labels: doc_id, toxic."""
+def fit(docs: DataFrame, labels: DataFrame, train_toxic: int = 2000, train_clean: int = 6000, least_rows: int = 4, most_features: int = 2000) -> tuple[float, dict[str, float], list[tuple[str, int]]]:
+    """(bias, weights, character counts). labels: doc_id, toxic.
+
+    Features are counted on the executors; the driver gets the most_features that tell most about the label, and their
+    places in each row of the labelled sample.
+    """
     counts = char_counts(docs)
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(~held_out() & F.col("toxic").isin(0, 1)).withColumn("h", F.xxhash64("doc_id"))
     few = known.where("toxic = 1").orderBy("h", "doc_id").limit(train_toxic).unionByName(known.where("toxic = 0").orderBy("h", "doc_id").limit(train_clean)).select(F.col("doc_id").alias("l_id"), "toxic")
     chosen = docs.select("doc_id", text_of("text").alias("text")).join(F.broadcast(few), F.col("doc_id") == F.col("l_id"))  # at most train_toxic + train_clean labels
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(CharModel(counts))
         for batch in batches:
-            words = ["\n".join(sorted(restorer.words(t))) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.string())], names=["toxic", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sorted(restorer.words(t)) for t in batch.column(1).to_pylist()], pa.list_(pa.string()))], names=["toxic", "words"])
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for toxic, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = sorted({f for w in words for f in word_features(w)})
+                yield pa.RecordBatch.from_arrays([pa.array([toxic] * len(own), pa.int32()), pa.array(own, pa.string())], names=["toxic", "feature"])
+
+    sample = materialize(chosen.select("toxic", "text").mapInArrow(restore, "toxic int, words array<string>"), "labelled")
+    n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    toxic, clean = n.get(1, 0), n.get(0, 0)
+    seen = sample.mapInArrow(spell, "toxic int, feature string").groupBy("feature").agg(F.sum(1 - F.col("toxic")).alias("n0"), F.sum("toxic").alias("n1"))
+
+    def part(column: str, base: int):
+        """Of the log-likelihood ratio of the label given the feature."""
+        k = F.col(column)
+        return F.when(k > 0, k * F.ln(k * (toxic + clean) / ((F.col("n0") + F.col("n1")) * max(base, 1)))).otherwise(0.0)
+
+    telling = seen.where((F.col("n1") >= least_rows) & (F.col("n1") * clean > 3 * F.col("n0") * toxic)).withColumn("gain", part("n1", toxic) + part("n0", clean))
+    kept = [(r["feature"], r["n0"], r["n1"]) for r in telling.orderBy(F.desc("gain"), "feature").limit(most_features).collect()]
+    at = {f: i for i, (f, _, _) in enumerate(kept)}
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = [sorted({at[f] for w in words for f in word_features(w) if f in at}) for words in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(places, pa.list_(pa.int32()))], names=["toxic", "places"])
 
-    rows = [({f for w in r["words"].split("\n") if w for f in word_features(w)}, r["toxic"]) for r in chosen.select("toxic", "text").mapInArrow(run, "toxic int, words string").collect()]  # the labelled sample's words
-    rows.sort(key=lambda r: (r[1], len(r[0]), sorted(r[0])[:20]))
-    bias, weights = train(rows)
+    rows = sorted((list(r["places"]), r["toxic"]) for r in sample.mapInArrow(place, "toxic int, places array<int>").collect())  # the labelled sample
+    bias, weights = train(rows, kept)
     return bias, weights, counts
 
 

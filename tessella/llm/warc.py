@@ -54,8 +54,11 @@ def write_archive(pages: DataFrame, path: str, least: int = 0, id_col: str = "pa
     groups = slim.groupBy("sha256").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"), *ends)
     clash = (F.col("a_bytes") != F.col("b_bytes")) | (F.col("a_sha1") != F.col("b_sha1")) | (F.col("a_xx") != F.col("b_xx"))
     groups = groups.select(F.when(clash, F.raise_error(F.lit("different payloads have one SHA-256"))).otherwise(F.col("sha256")).alias("sha256"), "first_id", "n")
-    kept = rows.join(groups.select(F.col("sha256").alias("g"), "first_id"), (F.col("sha256") == F.col("g")) & F.col("page_id").eqNullSafe(F.col("first_id")), "left_semi")
-    kept.select("sha256", "payload").dropDuplicates(["sha256"]).write.option("compression", "zstd").parquet(f"{path}/payloads")
+    # One key string for both columns, null too: the join's partitions serve the removal of repeated rows, so payloads are shuffled once.
+    key = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
+    first = groups.select(F.col("sha256").alias("g"), F.coalesce(F.col("first_id").cast("string"), F.lit("null")).alias("g_key"))
+    kept = rows.select("sha256", key.alias("key"), "payload").join(first, (F.col("sha256") == F.col("g")) & (F.col("key") == F.col("g_key")), "left_semi")
+    kept.dropDuplicates(["sha256", "key"]).select("sha256", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
     revisit = (F.col("n") > 1) & (F.col("bytes") >= least) & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     typed = slim.join(groups, "sha256").withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("first_id")))
     header = record_headers(F.col("record_type"), F.col("page_id"), F.col("url"), F.col("sha1"), F.col("bytes"), F.col("refers_to"))
