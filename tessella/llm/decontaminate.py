@@ -1,11 +1,12 @@
 """Benchmark decontamination by size-partitioned MinHash containment search.
 
 A document contains an item if it has at least `least` (0.8) of the item's distinct shingles of
-five words. Items are partitioned by size, their number n of shingles: of n, at most
-m = n - ceil(least n) can be missing, so of the item's m + 1 smallest hashes, its bottom
-MinHash sketch, a document that contains it has at least one. Documents are partitioned by
-size too: one with fewer than ceil(least n) shingles can't contain the item. The sketch thus
-loses nothing, whatever the ratio of sizes. What it finds is verified by exact shingles.
+five words. Items are partitioned by size, n shingles, at powers of two. An item's sketch is its
+smallest MinHash values: of n shingles at most m = n - ceil(least n) can be missing, so of the
+m + 1 smallest hashes a document that contains the item has at least one. A document is held
+only against the partitions whose items it is long enough to contain, and there against sketches
+of about one size, however long it is itself. Nothing is lost, whatever the ratio of sizes.
+What a sketch finds is verified by exact shingles.
 
 Words are runs of letters and digits, in lower case. Fewer words than five are one shingle.
 Items without a word are never found.
@@ -39,30 +40,44 @@ WORD = regex.compile(r"[\p{L}\p{N}]+")
 
 def shingles(text: str, words: int = 5) -> list[str]:
     w = WORD.findall(text.lower())
-    return [" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))] if w else []
+    return list(map(" ".join, zip(*(w[i:] for i in range(words)), strict=False))) if len(w) >= words else [" ".join(w)] if w else []
+
+
+class SizePartition:
+    """Items of n to 2n - 1 shingles: the least number that one of them needs, and their sketches by hash."""
+
+    def __init__(self) -> None:
+        self.least, self.sketches = math.inf, defaultdict(list)
+
+    def add(self, item: int, hashes: list[int], need: int) -> None:
+        self.least = min(self.least, need)
+        for h in hashes[: len(hashes) - need + 1]:
+            self.sketches[h].append(item)
 
 
 class Items:
-    """A block of items: sketches by hash, shingles by item."""
+    """A block of items by size, with their shingles for the verification."""
 
     def __init__(self, rows: list[tuple], least: float, words: int):
         self.words, self.held, self.need = words, [], []
-        self.sketch: dict[str, list[int]] = defaultdict(list)
-        for _, text in rows:
+        parts: dict[int, SizePartition] = defaultdict(SizePartition)
+        for k, (_, text) in enumerate(rows):
             own = set(shingles(text or "", words))
-            k, need = len(self.held), math.ceil(least * len(own) - 1e-9)
             self.held.append(own)
-            self.need.append(need)
-            for s in sorted(own, key=lambda s: (xxhash.xxh64_intdigest(s), s))[: len(own) - need + 1]:
-                self.sketch[s].append(k)
+            self.need.append(math.ceil(least * len(own) - 1e-9))
+            if own:
+                parts[len(own).bit_length()].add(k, sorted(map(xxhash.xxh64_intdigest, own)), self.need[k])
+        self.parts = [p for _, p in sorted(parts.items())]
 
     def find(self, text: str) -> Iterator[tuple[int, int]]:
         """(item's place, shared shingles) of the items that the text contains."""
         own = shingles(text, self.words)
-        if hits := self.sketch.keys() & own:
+        hashes = set(map(xxhash.xxh64_intdigest, own))
+        met = {k for p in self.parts if p.least <= len(hashes) for h in p.sketches.keys() & hashes for k in p.sketches[h]}
+        if met:
             own = set(own)
-            for k in sorted({k for s in hits for k in self.sketch[s]}):
-                if len(own) >= self.need[k] and (shared := len(self.held[k] & own)) >= self.need[k]:
+            for k in sorted(met):
+                if (shared := len(self.held[k] & own)) >= self.need[k]:
                     yield k, shared
 
 
