@@ -26,7 +26,8 @@ from pyspark.sql import types as T
 from tessella.llm._common import field, text_of
 
 MARK = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-NAMED = re.compile(r"(?:class|id|role|style)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+NAMED = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|\Z)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: Their content is never text of the page.
 UNSEEN = {"script", "style", "noscript", "template", "title", "textarea", "select", "iframe", "svg", "object", "canvas", "math"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -35,10 +36,20 @@ ARTICLE = {"article", "main"}
 BOILER = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "head"}
 BOILER_NAMES = set(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar footer bottom sidebar aside rail widget related recommended"
-    " share sharing social cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login form search comment comments commentlist reply replies respond disqus discussion skip pagination pager toc hidden none".split()
+    " share sharing social cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login form search comment comments commentlist reply replies respond disqus discussion skip pagination pager toc".split()
 )
 
 
+#: They hold the article, so what encloses them says nothing, and their names speak of the whole page.
+WHOLE = {"html", "body", "main"}
+
+
+def boiler_named(tag: str, attributes: str) -> bool:
+    """Whether a class, id or role names boilerplate, by its parts; for an article by whole names, as their parts may tell what it has."""
+    names = re.compile(r"\s+" if tag == "article" else r"[\s_\-:;]+")
+    return any(not BOILER_NAMES.isdisjoint(names.split((a or b or c).lower())) for a, b, c in NAMED.findall(attributes))
+
+
 class Block:
     __slots__ = ("boiler", "inside", "linked", "text", "words")
 
@@ -92,10 +103,7 @@ def blocks(page: str) -> list[Block]:
             if tag == "p" and stack and stack[-1][0] == "p" or tag == "li" and stack and stack[-1][0] == "li":
                 stack.pop()
             _, boiler, inside = stack[-1] if stack else ("", False, False)
-            if tag == "body":
-                boiler = False
-            names = {w for a, b, c in NAMED.findall(m[3]) for w in re.split(r"[\s_\-:;]+", (a or b or c).lower())} if m[3] else ()
-            boiler = boiler or tag in BOILER or tag == "header" and not inside or bool(names) and not BOILER_NAMES.isdisjoint(names) or bool(re.search(r"\bhidden\b", m[3]))
+            boiler = tag not in WHOLE and (boiler or tag in BOILER or tag == "header" and not inside or boiler_named(tag, m[3])) or bool(HIDDEN.search(m[3]))
             stack.append((tag, boiler, inside or tag in ARTICLE))
     add(page[at:] if "<" not in page[at:] else re.sub(r"<[a-zA-Z/!?].*\Z", "", page[at:], flags=re.S))
     close()
