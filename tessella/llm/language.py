@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm._common import field
+from tessella.llm._common import field, sampled
 
 SIZES = (2, 3, 4)
 M = np.uint64(0x9E3779B97F4A7C15)
@@ -52,7 +52,7 @@ def gram_hashes(text: str) -> np.ndarray:
 
 def training_grams(docs: DataFrame, train_docs: int, least_share: float) -> list:
     """(lang, gram) that occur in over least_share of the language's training documents."""
-    chosen = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(train_docs)
+    chosen = sampled(docs.where("lang is not null and text is not null"), train_docs, "doc_id", "lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -60,7 +60,7 @@ def training_grams(docs: DataFrame, train_docs: int, least_share: float) -> list
                 grams = np.unique(gram_hashes(text)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(grams) + 1), pa.string()), pa.array([None, *grams.tolist()], pa.int64())], names=["lang", "gram"])
 
-    counts = chosen.repartition(16).mapInArrow(run, "lang string, gram long").groupBy("lang", "gram").count()
+    counts = chosen.mapInArrow(run, "lang string, gram long").groupBy("lang", "gram").count()
     total = counts.where("gram is null").select(F.col("lang").alias("of"), F.col("count").alias("docs"))
     return counts.where("gram is not null").join(total, F.col("lang") == F.col("of")).where(F.col("count") > least_share * F.col("docs")).select("lang", "gram").collect()
 
