@@ -21,7 +21,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm._common import text_of
+from tessella.llm._common import sampled, text_of
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Runs that are long enough; what is shorter fails as a whole, so a run never starts later.
@@ -57,7 +57,7 @@ def samples(docs: DataFrame, train_docs: int = 2000, random_strings: int = 3000,
     digest = F.sha2(F.concat(F.lit("sample"), F.col("id").cast("string")), 256)
     packed = F.base64(F.unhex(digest))
     made = spark.range(random_strings).select(F.when(F.col("id") % 3 == 0, F.substring(digest, 1, 40)).when(F.col("id") % 3 == 1, packed).otherwise(F.upper(F.regexp_replace(packed, "[+/=]", ""))).alias("text"), F.lit(True).alias("random"))
-    chosen = docs.select(F.xxhash64(id_col).alias("h"), text_of(text_col).alias("text")).orderBy("h", "text").limit(train_docs)
+    chosen = sampled(docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")), train_docs, "doc_id", "text")
     words = F.filter(F.split("text", r"[^A-Za-z]+"), lambda w: F.length(w).between(2, 40))
     joined = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 1, F.lit(1))), lambda i: F.concat(F.coalesce(F.get("w", i - 1), F.lit("")), F.when(i % 4 == 0, "_").when(i % 4 == 1, "-").when(i % 4 == 2, "/").otherwise(""), F.coalesce(F.get("w", i), F.lit(""))))
     ordinary = chosen.select(words.alias("w")).select(F.explode(F.concat("w", joined)).alias("text")).select("text", F.lit(False).alias("random"))
