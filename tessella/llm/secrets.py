@@ -65,15 +65,24 @@ def samples(docs: DataFrame, train_docs: int = 2000, random_strings: int = 3000,
     return made.unionByName(ordinary).unionByName(fixed)
 
 
-def train(labelled: DataFrame) -> list[float]:
-    """Log-likelihood ratios by pair of characters, smoothed by a half: index 68 * first + second, 0 is any other character."""
+def train(labelled: DataFrame, prior: float = 5.0) -> list[float]:
+    """Log-likelihood ratios by pair of characters: index 68 * first + second, 0 is any other character.
+
+    What follows a rare character is taken from the characters at large, as `prior` pairs of them.
+    """
     code = "instr('%s', substr(text, i + {}, 1))" % ALPHABET
     pairs = labelled.selectExpr("random", f"explode(transform(sequence(1, greatest(length(text) - 1, 1)), i -> named_struct('a', {code.format(0)}, 'b', {code.format(1)}))) AS p").groupBy("random", "p.a", "p.b").count()
     n = len(ALPHABET) + 1
-    counts = {k: [[0.5] * n for _ in range(n)] for k in (True, False)}
+    counts = {k: [[0] * n for _ in range(n)] for k in (True, False)}
     for r in pairs.collect():  # at most 2 * 68 * 68 rows
         counts[r["random"]][r["a"]][r["b"]] += r["count"]
-    return [math.log(counts[True][a][b] / sum(counts[True][a])) - math.log(counts[False][a][b] / sum(counts[False][a])) for a in range(n) for b in range(n)]
+
+    def log_table(own: list[list[int]]) -> list[float]:
+        seconds = [sum(row[b] for row in own) + 0.5 for b in range(n)]
+        share = [s / sum(seconds) for s in seconds]
+        return [math.log((row[b] + prior * share[b]) / (sum(row) + prior)) for row in own for b in range(n)]
+
+    return [x - y for x, y in zip(log_table(counts[True]), log_table(counts[False]), strict=True)]
 
 
 def scan(docs: DataFrame, model: list[float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
