@@ -162,9 +162,9 @@ def char_counts(docs: DataFrame, text_col: str = "text") -> list[tuple[str, int]
     def batch_of(total: dict[int, int]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int64()), pa.array(total.values(), pa.int64())], names=["gram", "n"])
 
-    sums = docs.select(text_of(text_col).alias("text")).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    whole = sums.agg(F.sum("n").alias("whole"))
-    rows = sums.crossJoin(F.broadcast(whole)).where(F.col("n") * 1_000_000 > F.col("whole")).select("gram", "n").collect()  # fewer than a million, one row is broadcast
+    sums = materialize(docs.select(text_of(text_col).alias("text")).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "trigrams")
+    whole = sums.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rows = sums.where(F.col("n") * 1_000_000 > whole).collect()  # fewer than a million
     mask = (1 << 21) - 1
     return [(chr(g >> 42) + chr(g >> 21 & mask) + chr(g & mask), n) for g, n in rows]
 
