@@ -4,12 +4,12 @@ A fingerprint's 64 bits are two halves. The anchors of a half are the words of t
 Hamming code of length 31 (covering radius 1), each with the half's last bit free. Of two
 fingerprints that differ in at most 3 bits, one half differs in at most 1. There, the anchor
 nearest to the first is at most 1 + 1 bits from the second. So each fingerprint goes to all
-anchors within radius plus threshold, 2 bits (2 or 17 of each half's 2^27), and is compared
-only at an anchor that is the nearest of one of the two. No link is lost.
+anchors within radius plus threshold, 2 bits (2 or 17 of each half's 2^27), where it is compared.
+No link is lost.
 
 Equal fingerprints are one before anything is compared, so groups of copies cost nothing. An
-anchor's members are compared in blocks and give a spanning forest, never all pairs; linked
-fingerprints become components by star rounds (graph.py).
+anchor's members give a spanning forest, never all pairs, and a hot anchor is split (linked());
+linked fingerprints become components by star rounds (graph.py).
 
 Null and empty texts have fingerprint 0 and link to each other; the smallest id ignores nulls;
 repeated rows are rows of their own; an empty table gives an empty result; other columns are
@@ -32,8 +32,10 @@ from tessella.llm.graph import components
 
 #: Bits in which linked fingerprints may differ; the anchors' radius follows from it.
 MOST_BITS = 3
-#: Groups at an anchor above this size are compared by blocks of rows, not by shifted columns.
-SMALL_GROUP = 64
+#: Groups at a key up to this size are compared all at once.
+SMALL_GROUP = 8
+#: Rows of a key that one task compares, and rows of a larger key that all its cells get.
+HOT_GROUP, LEADERS = 2048, 16
 
 
 def fingerprint(text: str, words: int = 3) -> int:
@@ -70,62 +72,145 @@ def syndromes(words31: np.ndarray) -> np.ndarray:
     return s
 
 
-def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, fp, own): each unsigned fingerprint at every anchor within 2 bits in a half; own: the anchor is its nearest."""
-    one, keys, out, own = np.uint64(1), [], [], []
+def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, fp): each unsigned fingerprint at every anchor within 2 bits in a half."""
+    one, keys, out = np.uint64(1), [], []
 
-    def put(half: int, free: np.ndarray, code: np.ndarray, fp: np.ndarray, nearest: bool) -> None:
+    def put(half: int, free: np.ndarray, code: np.ndarray, fp: np.ndarray) -> None:
         keys.append(np.uint64(half << 32) | free << np.uint64(31) | code)
         out.append(fp)
-        own.append(np.full(len(fp), nearest))
 
     for half in (0, 1):
         part = fps >> np.uint64(32 * half) & np.uint64(0xFFFFFFFF)
         free, word = part >> np.uint64(31), part & np.uint64(0x7FFFFFFF)
         s = syndromes(word)
         code = np.where(s > 0, word ^ one << (np.maximum(s, one) - one), word)
-        put(half, free, code, fps, True)
-        put(half, free ^ one, code, fps, False)
+        put(half, free, code, fps)
+        put(half, free ^ one, code, fps)
         off = s > 0
         word, s, free, fp = word[off], s[off], free[off], fps[off]
         for i in range(1, 32):  # the pairs of places whose xor is the syndrome: code words 2 bits away
             j = np.uint64(i) ^ s
             use = j > i
-            put(half, free[use], word[use] ^ np.uint64(1 << (i - 1)) ^ one << (j[use] - one), fp[use], False)
-    return np.concatenate(keys), np.concatenate(out), np.concatenate(own)
+            put(half, free[use], word[use] ^ np.uint64(1 << (i - 1)) ^ one << (j[use] - one), fp[use])
+    return np.concatenate(keys), np.concatenate(out)
 
 
-def forest(fp: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links within one anchor's group as a spanning forest; rows of the group are compared with its own fingerprints, one after the other."""
-    label = np.arange(len(fp))
-    for o in np.flatnonzero(own):
-        near = np.unique(label[np.bitwise_count(fp ^ fp[o]) <= MOST_BITS])
-        if len(near) > 1:
-            label[np.isin(label, near)] = near[0]
-    linked = np.flatnonzero(label != np.arange(len(fp)))
-    return fp[linked], fp[label[linked]]
+def words_of(column: pa.Array) -> np.ndarray:
+    """A column of fingerprints, longs or bytes, as rows of unsigned 64-bit words."""
+    if pa.types.is_integer(column.type):
+        return column.to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, 1)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
 
 
-def links(key: np.ndarray, fp: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links among rows sorted by key, whole groups only."""
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    sizes = np.diff(np.r_[starts, len(key)])
+def column_of(words: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.array(words[:, 0].view(np.int64)) if pa.types.is_integer(kind) else pa.array([w.tobytes() for w in words], pa.binary())
+
+
+def group_links(starts: np.ndarray, sizes: np.ndarray, fp: np.ndarray, most_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs that link the members of each group, given by starts and sizes.
+
+    Small groups are compared by shifted columns, all at once. A larger group gives a spanning forest: the first row's
+    component grows row by row, then that of the first row left; what has been reached is not compared again.
+    """
     u, v = [], []
-    for at, n in zip(starts[sizes > SMALL_GROUP], sizes[sizes > SMALL_GROUP], strict=True):
-        a, b = forest(fp[at : at + n], own[at : at + n])
-        u.append(a)
-        v.append(b)
-    small = np.repeat((sizes <= SMALL_GROUP) & (sizes > 1), sizes)
-    key, fp, own = key[small], fp[small], own[small]
+    for at, n in zip(starts[sizes > SMALL_GROUP].tolist(), sizes[sizes > SMALL_GROUP].tolist(), strict=True):
+        own, rest = fp[at : at + n], np.arange(n)
+        while len(rest) > 1:
+            first, waiting, rest = rest[0], [rest[0]], rest[1:]
+            while waiting and len(rest):
+                near = np.bitwise_count(own[rest] ^ own[waiting.pop()]).sum(1, dtype=np.int64) <= most_bits
+                found, rest = rest[near], rest[~near]
+                waiting += found.tolist()
+                u.append(at + found)
+                v.append(np.full(len(found), at + first))
+    small = (sizes > 1) & (sizes <= SMALL_GROUP)
+    group = np.repeat(np.arange(len(sizes))[small], sizes[small])
+    place = np.concatenate([np.arange(a, a + n) for a, n in zip(starts[small].tolist(), sizes[small].tolist(), strict=True)] or [np.empty(0, np.int64)])
     for shift in range(1, SMALL_GROUP):
-        same = key[shift:] == key[:-shift]
-        if not same.any():
+        same = np.flatnonzero(group[shift:] == group[:-shift])
+        if not len(same):
             break
-        a, b = fp[shift:], fp[:-shift]
-        found = same & (own[shift:] | own[:-shift]) & (np.bitwise_count(a ^ b) <= MOST_BITS)
+        a, b = place[same + shift], place[same]
+        found = np.bitwise_count(fp[a] ^ fp[b]).sum(1, dtype=np.int64) <= most_bits
         u.append(a[found])
         v.append(b[found])
-    return (np.concatenate(u), np.concatenate(v)) if u else (fp[:0], fp[:0])
+    return (np.concatenate(u), np.concatenate(v)) if u else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch]]:
+    """(starts, sizes, rows) of groups of equal first columns, in sorted batches; the last group of a batch waits for the next batch."""
+    waiting = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = batch if waiting is None else pa.Table.from_batches([waiting, batch]).combine_chunks().to_batches()[0]
+        keys = [rows.column(i).to_numpy(zero_copy_only=False) for i in range(columns)]
+        starts = np.flatnonzero(np.r_[True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys])])
+        end = int(starts[-1])
+        if end:
+            yield starts[:-1], np.diff(starts), rows.slice(0, end)
+        waiting = rows.slice(end)
+    if waiting is not None:
+        yield np.zeros(1, np.int64), np.array([waiting.num_rows]), waiting
+
+
+def linked(keyed: DataFrame, most_bits: int, hot_group: int = HOT_GROUP) -> DataFrame:
+    """(node, root): components of the fingerprints that meet at a key and differ in at most most_bits bits.
+
+    keyed: key long, fp long or binary, each fp once at a key. A key with more than hot_group rows is dealt over cells
+    of about that size, by a hash. Each cell also gets LEADERS rows of the key, through which the cells' rows become one
+    component in most cases. Where a key's rows are still in several, those outside its largest component go to all its
+    cells and are compared with every row there, so that no link is lost and no task holds more than a cell.
+    """
+    n, kind = partitions(keyed.sparkSession), keyed.schema["fp"].dataType.simpleString()
+    pair = f"u {kind}, v {kind}"
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for starts, sizes, rows in whole_groups(batches, 2):
+            fp = words_of(rows.column(2))
+            u, v = group_links(starts, sizes, fp, most_bits)
+            yield pa.RecordBatch.from_arrays([column_of(fp[u], rows.column(2).type), column_of(fp[v], rows.column(2).type)], names=["u", "v"])
+
+    def compare_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows that came to a cell from others, one after the other, with the cell's own: a link to each component."""
+        for starts, sizes, rows in whole_groups(batches, 2):
+            fp, root, guest = words_of(rows.column(2)), words_of(rows.column(3)), rows.column(4).to_numpy(zero_copy_only=False)
+            u, v = [], []
+            for at, size in zip(starts.tolist(), sizes.tolist(), strict=True):
+                k = at + int(np.count_nonzero(~guest[at : at + size]))  # own rows come first
+                for g in range(k, at + size):
+                    near = at + np.flatnonzero(np.bitwise_count(fp[at:k] ^ fp[g]).sum(1, dtype=np.int64) <= most_bits)
+                    near = near[(root[near] != root[g]).any(1)]
+                    each = near[np.unique(root[near], axis=0, return_index=True)[1]]
+                    u += [g] * len(each)
+                    v += each.tolist()
+            yield pa.RecordBatch.from_arrays([column_of(fp[u], rows.column(2).type), column_of(fp[v], rows.column(2).type)], names=["u", "v"])
+
+    hot = materialize(keyed.groupBy("key").count().where(F.col("count") > hot_group).select("key", F.ceil(F.col("count") / hot_group).cast("int").alias("parts")), "hot")
+    cold = hot.isEmpty()
+    placed = keyed.select("key", F.lit(None).cast("int").alias("parts"), F.lit(0).alias("cell"), "fp")
+    cells = placed.select("key", "cell", "fp")
+    if not cold:
+        cell = F.coalesce(F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"), F.lit(0))
+        placed = keyed.join(hot, "key", "left").select("key", "parts", cell.alias("cell"), "fp")
+        leaders = placed.where(F.col("parts").isNotNull() & (F.col("cell") < LEADERS)).groupBy("key", "parts", "cell").agg(F.min("fp").alias("fp"))
+        everywhere = leaders.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("cell"), "fp")
+        cells = placed.select("key", "cell", "fp").unionByName(everywhere)
+    roots = components(cells.repartition(n, "key", "cell").sortWithinPartitions("key", "cell").mapInArrow(compare, pair))
+    if cold:
+        return roots
+    known = placed.where("parts is not null").join(roots, F.col("fp") == F.col("node"), "left").select("key", "parts", "cell", "fp", F.coalesce("root", "fp").alias("root"))
+    known = materialize(known, "known")
+    of_key = known.groupBy("key", "root").count().groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("count", "root")).alias("most"))
+    split = materialize(of_key.where("n > 1").select("key", F.col("most.root").alias("main")), "split")
+    if split.isEmpty():
+        return roots
+    held = known.join(split, "key")
+    guests = held.where("root <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("cell"), "fp", "root", F.lit(True).alias("guest"))
+    both = held.select("key", "cell", "fp", "root", F.lit(False).alias("guest")).unionByName(guests)
+    more = both.repartition(n, "key", "cell").sortWithinPartitions("key", "cell", "guest").mapInArrow(compare_rest, pair)
+    return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
 
 
 def near_groups(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -137,29 +222,10 @@ def near_groups(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_co
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
-                key, fp, own = anchors(batch.column(0).slice(at, 4096).to_numpy(zero_copy_only=False).view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(fp.view(np.int64)), pa.array(own)], names=["key", "fp", "own"])
+                key, fp = anchors(batch.column(0).slice(at, 4096).to_numpy(zero_copy_only=False).view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(fp.view(np.int64))], names=["key", "fp"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The last group of a batch waits for the next batch."""
-        key, fp, own = np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, bool)
-        for batch in batches:
-            more = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            key, fp, own = np.concatenate([key, more[0]]), np.concatenate([fp, more[1].view(np.uint64)]), np.concatenate([own, more[2]])
-            if not len(key):
-                continue
-            end = np.searchsorted(key, key[-1])
-            if end:
-                yield edges(*links(key[:end], fp[:end], own[:end]))
-            key, fp, own = key[end:], fp[end:], own[end:]
-        if len(key):
-            yield edges(*links(key, fp, own))
-
-    def edges(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
-
-    found = groups.select("fp").repartition(n).mapInArrow(spread, "key long, fp long, own boolean").repartition(n, "key").sortWithinPartitions("key").mapInArrow(compare, "u long, v long")
-    roots = components(found)
+    roots = linked(groups.select("fp").repartition(n).mapInArrow(spread, "key long, fp long"), MOST_BITS)
     named = groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = materialize(named.join(least, "root").select("fp", "component_id"), "components")
@@ -207,31 +273,13 @@ def signature(text: str, words: int) -> tuple[bytes, np.ndarray]:
 MULTIPLIERS = mixed(np.arange(1, BANDS * BAND + 1, dtype=np.uint64), 7) | np.uint64(1)
 
 
-def band_links(key: np.ndarray, fp: np.ndarray, most_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs to link within groups of equal keys (sorted): a spanning forest of each. fp: rows of four 64-bit words."""
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    sizes = np.diff(np.r_[starts, len(key)])
-    u, v = [], []
-    for at, n in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
-        own, rest = fp[at : at + n], np.arange(n)
-        while len(rest) > 1:  # the first row's component, row by row, then what is left
-            first, waiting, rest = rest[0], [rest[0]], rest[1:]
-            while waiting and len(rest):
-                near = np.bitwise_count(own[rest] ^ own[waiting.pop()]).sum(1, dtype=np.int64) <= most_bits
-                found, rest = rest[near], rest[~near]
-                waiting += found.tolist()
-                u.append(at + found)
-                v.append(np.full(len(found), at + first))
-    return (np.concatenate(u), np.concatenate(v)) if u else (np.empty(0, int), np.empty(0, int))
-
-
-def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", hot_group: int = HOT_GROUP) -> DataFrame:
     """The rows of docs, all columns, less those in a group of similar documents that has a smaller id.
 
     Rows that share the group's smallest id stay, as do rows without id if their whole group has none. Texts with one
     fingerprint are one before they are compared, their keys those of one of them.
     """
-    n, place = partitions(docs.sparkSession), docs.columns.index(text_col)
+    place = docs.columns.index(text_col)
     most_bits = int((1 - similarity) * WIDTH + 1e-9)
     own = [T.StructField("__fp", T.BinaryType()), T.StructField("__keys", T.ArrayType(T.LongType()))]
 
@@ -241,27 +289,9 @@ def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_co
             fps, keys = pa.array([s[0] for s in signed], pa.binary()), pa.array([s[1].view(np.int64) for s in signed], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*batch.columns, fps, keys], names=[*batch.schema.names, "__fp", "__keys"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The last group of a batch waits for the next batch."""
-        key, fp = np.empty(0, np.int64), np.empty((0, WIDTH // 64), np.uint64)
-        for batch in batches:
-            if batch.num_rows:
-                key = np.concatenate([key, batch.column(0).to_numpy(zero_copy_only=False)])
-                fp = np.concatenate([fp, np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, WIDTH // 64)])
-                end = int(np.searchsorted(key, key[-1]))
-                if end:
-                    yield edges(fp, *band_links(key[:end], fp[:end], most_bits))
-                key, fp = key[end:], fp[end:]
-        if len(key):
-            yield edges(fp, *band_links(key, fp, most_bits))
-
-    def edges(fp: np.ndarray, u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([fp[i].tobytes() for i in side], pa.binary()) for side in (u, v)], names=["u", "v"])
-
     rows = materialize(docs.mapInArrow(sign, T.StructType([*docs.schema.fields, *own])), "signed")
     groups = materialize(rows.groupBy("__fp").agg(F.min(id_col).alias("first_id"), F.min("__keys").alias("keys")), "groups")
-    keyed = groups.select(F.explode("keys").alias("key"), F.col("__fp").alias("fp"))
-    roots = components(keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(compare, "u binary, v binary"))
+    roots = linked(groups.select(F.explode("keys").alias("key"), F.col("__fp").alias("fp")), most_bits, hot_group)
     named = groups.join(roots, groups["__fp"] == roots["node"], "left").select("__fp", "first_id", F.coalesce("root", "__fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first_id").alias("__least"))
     named = materialize(named.join(least, "root").select(F.col("__fp").alias("__group"), "__least"), "components")
