@@ -36,7 +36,7 @@ shared(
     "flt_points3d", "SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(*) >= 2 AND avg(l_discount) <= 0.06 AND min(l_tax) >= 0",
     lambda x: x.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.avg("l_discount").alias("e"), F.min("l_tax").alias("d")).where("n >= 2 AND e <= 0.06 AND d >= 0").select("l_orderkey"), "lineitem",
 )
-shared("flt_aspect", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_partkey // l_suppkey) < 20", lambda x: x.where("l_partkey div l_suppkey < 20").select("l_orderkey", "l_linenumber"), "lineitem")
+shared("flt_aspect", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_partkey // (l_suppkey + 1)) < 20", lambda x: x.where("l_partkey div (l_suppkey + 1) < 20").select("l_orderkey", "l_linenumber"), "lineitem")
 RULES = ((5, 0.02), (10, 0.04), (-1, 0.08), (30, -1.0))
 shared(
     "flt_template_rules", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE " + " OR ".join("(" + " AND ".join([f"l_quantity >= {n}"] * (n >= 0) + [f"l_discount <= {d}::DOUBLE"] * (d >= 0)) + ")" for n, d in RULES),
