@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tessella.llm._common import field, text_of
+from tessella.llm._common import field, slices, text_of
 
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 
@@ -91,7 +91,7 @@ def contained(docs: DataFrame, items: DataFrame, least: float = 0.8, words: int
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block, names = Items(sent.value, least, words), [r[0] for r in sent.value]
-            for batch in batches:
+            for batch in slices(batches):
                 like, out = batch.schema.field(0).type, []
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     out += [(doc, names[k], shared, len(block.held[k]), shared / len(block.held[k])) for k, shared in block.find(text)]
@@ -127,7 +127,7 @@ def clean(docs: DataFrame, items: DataFrame, least: float = 0.8, words: int = 5,
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block = Items(sent.value, least, words)
-            for batch in batches:
+            for batch in slices(batches):
                 yield batch.filter(pa.array([next(block.find(t or ""), None) is None for t in batch.column(place).to_pylist()], pa.bool_()))
 
         return docs.mapInArrow(run, docs.schema)

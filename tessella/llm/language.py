@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm._common import field, sampled
+from tessella.llm._common import field, sampled, slices
 
 SIZES = (2, 3, 4)
 M = np.uint64(0x9E3779B97F4A7C15)
@@ -116,7 +116,7 @@ def identify(docs: DataFrame, train_docs: int = 4000, least_share: float = 0.02)
     grams = GramFilter([tuple(r) for r in training_grams(docs.where(~held), train_docs, least_share)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [grams.predict(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 

@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm._common import field, materialize, text_of
+from tessella.llm._common import field, materialize, slices, text_of
 from tessella.llm.token_count import Memo, byte_symbols
 
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -38,7 +38,7 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 class WordIds:
     """Texts -> ids. tokens hold what stands between white space, words the pre-tokens; both repeat much."""
 
-    def __init__(self, content: str, most_words: int = 250_000):
+    def __init__(self, content: str, most_words: int = 100_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(content)
@@ -152,7 +152,7 @@ def pack(docs: DataFrame, encoder: Callable[[], Callable[[str], bytes]], size: i
                 rows.append((doc, start, n, zlib.crc32(ids), total, sequence, at, ids if keep else None))
                 at += n
 
-        for batch in batches:
+        for batch in slices(batches):
             like = batch.schema.field(0).type
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for pieces in packer.add(doc, encode(text) + end):

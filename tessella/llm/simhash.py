@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm._common import field, materialize, partitions, text_of
+from tessella.llm._common import field, materialize, partitions, slices, text_of
 from tessella.llm.graph import components
 
 #: Bits in which linked fingerprints may differ; the anchors' radius follows from it.
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
     """doc_id, fp: the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             fps = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
@@ -284,7 +284,7 @@ def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_co
     own = [T.StructField("__fp", T.BinaryType()), T.StructField("__keys", T.ArrayType(T.LongType()))]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             signed = [signature(t or "", words) for t in batch.column(place).to_pylist()]
             fps, keys = pa.array([s[0] for s in signed], pa.binary()), pa.array([s[1].view(np.int64) for s in signed], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*batch.columns, fps, keys], names=[*batch.schema.names, "__fp", "__keys"])

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tessella.llm._common import field, text_of
+from tessella.llm._common import field, slices, text_of
 
 #: White space as the vocabulary's own pattern has it (Python's also counts the separators 1C to 1F).
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -147,7 +147,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = counter_of(content.value)
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(1).to_pylist()
             sizes = [len(t.encode()) for t in texts]
             counts = [counter.count(t) for t in texts]

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm._common import field, materialize, text_of
+from tessella.llm._common import field, materialize, slices, text_of
 from tessella.llm.token_count import Memo
 
 #: Symbols and the letters that they may stand for.
@@ -112,7 +112,7 @@ class Restorer:
     """Texts -> the set of their words, disguised ones restored."""
 
     def __init__(self, model: CharModel):
-        self.model, self.memo = model, Memo(self.word, 300_000)
+        self.model, self.memo = model, Memo(self.word, 150_000)
 
     def word(self, token: str) -> str:
         """The word of one token in lower case; empty if it has no letter at all."""
@@ -147,7 +147,7 @@ def char_counts(docs: DataFrame, text_col: str = "text") -> list[tuple[str, int]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, int] = defaultdict(int)
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 points = np.frombuffer((" " + re.sub(r"[\W\d_]+", "  ", text.lower()) + " ").encode("utf-32-le"), np.uint32).astype(np.int64)
                 grams, n = np.unique(points[:-2] << 42 | points[1:-1] << 21 | points[2:], return_counts=True)
@@ -179,7 +179,7 @@ class Scorer:
 
     def __init__(self, bias: float, weights: dict[str, float], model: CharModel):
         self.bias, self.weights, self.restorer = bias, weights, Restorer(model)
-        self.memo = Memo(lambda w: tuple(f for f in word_features(w) if f in weights), 300_000)
+        self.memo = Memo(lambda w: tuple(f for f in word_features(w) if f in weights), 150_000)
 
     def score(self, text: str) -> float:
         has: set[str] = set()
@@ -274,7 +274,7 @@ def score(docs: DataFrame, model: tuple, least: float = 0.5) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b, w, c = sent.value
         scorer = Scorer(b, w, CharModel(c))
-        for batch in batches:
+        for batch in slices(batches):
             s = [scorer.score(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64()), pa.array([int(x >= least) for x in s], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
@@ -295,7 +295,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b, w, c = sent.value
         scorer = Scorer(b, w, CharModel(c))
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array([scorer.score(t or "") < least for t in batch.column(place).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
