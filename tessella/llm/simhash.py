@@ -18,6 +18,7 @@ ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,8 @@ MOST_BITS = 3
 SMALL_GROUP = 8
 #: Rows of a key that one task compares, and rows of a larger key that all its cells get.
 HOT_GROUP, LEADERS = 2048, 16
+#: Bytes of shingles of a key that one task compares.
+CELL_BYTES = 16 << 20
 
 
 def fingerprint(text: str, words: int = 3) -> int:
@@ -107,24 +110,65 @@ def column_of(words: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.array(words[:, 0].view(np.int64)) if pa.types.is_integer(kind) else pa.array([w.tobytes() for w in words], pa.binary())
 
 
-def group_links(starts: np.ndarray, sizes: np.ndarray, fp: np.ndarray, most_bits: int) -> tuple[np.ndarray, np.ndarray]:
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which fingerprints differ; words after the first WIDTH bits only name the row."""
+    bits = slice(0, WIDTH // 64)
+    return np.bitwise_count(a[..., bits] ^ b[..., bits]).sum(-1, dtype=np.int64)
+
+
+class Shingles:
+    """Sets of shingle hashes of the rows at to at + n, each a sorted column value, numbered so that one is compared with many at once."""
+
+    def __init__(self, column: pa.Array, at: int, n: int):
+        sets = [np.frombuffer(x, np.uint64) for x in column.slice(at, n).to_pylist()]
+        self.size = np.array([len(x) for x in sets])
+        self.end = np.cumsum(self.size)
+        each, code = np.unique(np.concatenate(sets), return_inverse=True)
+        self.code, self.in_one = code.ravel(), np.zeros(len(each), bool)
+
+    def own(self, row: int) -> np.ndarray:
+        return self.code[self.end[row] - self.size[row] : self.end[row]]
+
+    def similar(self, row: int, others: np.ndarray, least: float) -> np.ndarray:
+        """Which others have Jaccard similarity least or more with row."""
+        self.in_one[self.own(row)] = True
+        if len(others) > SMALL_GROUP:
+            both = np.add.reduceat(self.in_one[self.code], self.end - self.size, dtype=np.int64)[others]
+        else:
+            both = np.array([np.count_nonzero(self.in_one[self.own(j)]) for j in others.tolist()], np.int64)
+        self.in_one[self.own(row)] = False
+        return both >= least * (self.size[row] + self.size[others] - both) - 1e-9
+
+
+def near_rows(fp: np.ndarray, row: int, others: np.ndarray, most_bits: int, sets: Shingles | None, least: float) -> np.ndarray:
+    """Which others are linked with row: by bits, and by their sets if there are sets."""
+    near = differing(fp[others], fp[row]) <= most_bits
+    if sets is not None and near.any():
+        near[near] = sets.similar(row, others[near], least)
+    return near
+
+
+def group_links(starts: np.ndarray, sizes: np.ndarray, fp: np.ndarray, most_bits: int, shingles: pa.Array | None = None, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     """Row pairs that link the members of each group, given by starts and sizes.
 
     Small groups are compared by shifted columns, all at once. A larger group gives a spanning forest: the first row's
-    component grows row by row, then that of the first row left; what has been reached is not compared again.
+    component grows row by row, then that of the first row left; what has been reached is not compared again. With
+    shingles all groups of over one row are compared in this way.
     """
     u, v = [], []
-    for at, n in zip(starts[sizes > SMALL_GROUP].tolist(), sizes[sizes > SMALL_GROUP].tolist(), strict=True):
+    large = sizes > (SMALL_GROUP if shingles is None else 1)
+    for at, n in zip(starts[large].tolist(), sizes[large].tolist(), strict=True):
         own, rest = fp[at : at + n], np.arange(n)
+        sets = None if shingles is None else Shingles(shingles, at, n)
         while len(rest) > 1:
             first, waiting, rest = rest[0], [rest[0]], rest[1:]
             while waiting and len(rest):
-                near = np.bitwise_count(own[rest] ^ own[waiting.pop()]).sum(1, dtype=np.int64) <= most_bits
+                near = near_rows(own, waiting.pop(), rest, most_bits, sets, least)
                 found, rest = rest[near], rest[~near]
                 waiting += found.tolist()
                 u.append(at + found)
                 v.append(np.full(len(found), at + first))
-    small = (sizes > 1) & (sizes <= SMALL_GROUP)
+    small = (sizes > 1) & ~large
     group = np.repeat(np.arange(len(sizes))[small], sizes[small])
     place = np.concatenate([np.arange(a, a + n) for a, n in zip(starts[small].tolist(), sizes[small].tolist(), strict=True)] or [np.empty(0, np.int64)])
     for shift in range(1, SMALL_GROUP):
@@ -132,7 +176,7 @@ def group_links(starts: np.ndarray, sizes: np.ndarray, fp: np.ndarray, most_bits
         if not len(same):
             break
         a, b = place[same + shift], place[same]
-        found = np.bitwise_count(fp[a] ^ fp[b]).sum(1, dtype=np.int64) <= most_bits
+        found = differing(fp[a], fp[b]) <= most_bits
         u.append(a[found])
         v.append(b[found])
     return (np.concatenate(u), np.concatenate(v)) if u else (np.empty(0, np.int64), np.empty(0, np.int64))
@@ -155,21 +199,23 @@ def whole_groups(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tu
         yield np.zeros(1, np.int64), np.array([waiting.num_rows]), waiting
 
 
-def linked(keyed: DataFrame, most_bits: int, hot_group: int = HOT_GROUP) -> DataFrame:
+def linked(keyed: DataFrame, most_bits: int, hot_group: int = HOT_GROUP, least: float = 0.0) -> DataFrame:
     """(node, root): components of the fingerprints that meet at a key and differ in at most most_bits bits.
 
-    keyed: key long, fp long or binary, each fp once at a key. A key with more than hot_group rows is dealt over cells
+    keyed: key long, fp long or binary, each fp once at a key; if it has shingles (binary), linked rows must also have
+    Jaccard similarity least or more. A key with more than hot_group rows, or CELL_BYTES of shingles, is dealt over cells
     of about that size, by a hash. Each cell also gets LEADERS rows of the key, through which the cells' rows become one
     component in most cases. Where a key's rows are still in several, those outside its largest component go to all its
     cells and are compared with every row there, so that no link is lost and no task holds more than a cell.
     """
     n, kind = partitions(keyed.sparkSession), keyed.schema["fp"].dataType.simpleString()
     pair = f"u {kind}, v {kind}"
+    more = ["shingles"] if "shingles" in keyed.columns else []
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for starts, sizes, rows in whole_groups(batches, 2):
             fp = words_of(rows.column(2))
-            u, v = group_links(starts, sizes, fp, most_bits)
+            u, v = group_links(starts, sizes, fp, most_bits, rows.column(3) if more else None, least)
             yield pa.RecordBatch.from_arrays([column_of(fp[u], rows.column(2).type), column_of(fp[v], rows.column(2).type)], names=["u", "v"])
 
     def compare_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,39 +224,41 @@ def linked(keyed: DataFrame, most_bits: int, hot_group: int = HOT_GROUP) -> Data
             fp, root, guest = words_of(rows.column(2)), words_of(rows.column(3)), rows.column(4).to_numpy(zero_copy_only=False)
             u, v = [], []
             for at, size in zip(starts.tolist(), sizes.tolist(), strict=True):
-                k = at + int(np.count_nonzero(~guest[at : at + size]))  # own rows come first
-                for g in range(k, at + size):
-                    near = at + np.flatnonzero(np.bitwise_count(fp[at:k] ^ fp[g]).sum(1, dtype=np.int64) <= most_bits)
-                    near = near[(root[near] != root[g]).any(1)]
+                k = int(np.count_nonzero(~guest[at : at + size]))  # own rows come first
+                sets = Shingles(rows.column(5), at, size) if more and k < size else None
+                for g in range(at + k, at + size):
+                    near = np.flatnonzero((root[at : at + k] != root[g]).any(1))
+                    near = at + near[near_rows(fp[at : at + size], g - at, near, most_bits, sets, least)]
                     each = near[np.unique(root[near], axis=0, return_index=True)[1]]
                     u += [g] * len(each)
                     v += each.tolist()
             yield pa.RecordBatch.from_arrays([column_of(fp[u], rows.column(2).type), column_of(fp[v], rows.column(2).type)], names=["u", "v"])
 
-    hot = materialize(keyed.groupBy("key").count().where(F.col("count") > hot_group).select("key", F.ceil(F.col("count") / hot_group).cast("int").alias("parts")), "hot")
+    load = F.greatest(F.count(F.lit(1)) / hot_group, F.sum(F.length("shingles")) / CELL_BYTES) if more else F.count(F.lit(1)) / hot_group
+    hot = materialize(keyed.groupBy("key").agg(load.alias("load")).where("load > 1").select("key", F.ceil("load").cast("int").alias("parts")), "hot")
     cold = hot.isEmpty()
-    placed = keyed.select("key", F.lit(None).cast("int").alias("parts"), F.lit(0).alias("cell"), "fp")
-    cells = placed.select("key", "cell", "fp")
+    placed = keyed.select("key", F.lit(None).cast("int").alias("parts"), F.lit(0).alias("cell"), "fp", *more)
+    cells = placed.select("key", "cell", "fp", *more)
     if not cold:
         cell = F.coalesce(F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"), F.lit(0))
-        placed = keyed.join(hot, "key", "left").select("key", "parts", cell.alias("cell"), "fp")
-        leaders = placed.where(F.col("parts").isNotNull() & (F.col("cell") < LEADERS)).groupBy("key", "parts", "cell").agg(F.min("fp").alias("fp"))
-        everywhere = leaders.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("cell"), "fp")
-        cells = placed.select("key", "cell", "fp").unionByName(everywhere)
+        placed = keyed.join(hot, "key", "left").select("key", "parts", cell.alias("cell"), "fp", *more)
+        leaders = placed.where(F.col("parts").isNotNull() & (F.col("cell") < LEADERS)).groupBy("key", "parts", "cell").agg(F.min(F.struct("fp", *more)).alias("row")).select("key", "parts", "row.*")
+        everywhere = leaders.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("cell"), "fp", *more)
+        cells = placed.select("key", "cell", "fp", *more).unionByName(everywhere)
     roots = components(cells.repartition(n, "key", "cell").sortWithinPartitions("key", "cell").mapInArrow(compare, pair))
     if cold:
         return roots
-    known = placed.where("parts is not null").join(roots, F.col("fp") == F.col("node"), "left").select("key", "parts", "cell", "fp", F.coalesce("root", "fp").alias("root"))
+    known = placed.where("parts is not null").join(roots, F.col("fp") == F.col("node"), "left").select("key", "parts", "cell", "fp", F.coalesce("root", "fp").alias("root"), *more)
     known = materialize(known, "known")
     of_key = known.groupBy("key", "root").count().groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("count", "root")).alias("most"))
     split = materialize(of_key.where("n > 1").select("key", F.col("most.root").alias("main")), "split")
     if split.isEmpty():
         return roots
     held = known.join(split, "key")
-    guests = held.where("root <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("cell"), "fp", "root", F.lit(True).alias("guest"))
-    both = held.select("key", "cell", "fp", "root", F.lit(False).alias("guest")).unionByName(guests)
-    more = both.repartition(n, "key", "cell").sortWithinPartitions("key", "cell", "guest").mapInArrow(compare_rest, pair)
-    return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
+    guests = held.where("root <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("cell"), "fp", "root", F.lit(True).alias("guest"), *more)
+    both = held.select("key", "cell", "fp", "root", F.lit(False).alias("guest"), *more).unionByName(guests)
+    links = both.repartition(n, "key", "cell").sortWithinPartitions("key", "cell", "guest").mapInArrow(compare_rest, pair)
+    return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links))
 
 
 def near_groups(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -235,9 +283,11 @@ def near_groups(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_co
 # Groups by a similarity. A covering code serves thresholds of a few bits: the replicas of a
 # fingerprint grow with the volume of radius plus threshold. Five-word shingles with Jaccard
 # 0.8 differ in 4 to 18 of 64 bits, so no such code is small enough. For a similarity the anchors
-# are therefore keys from the text: `BANDS` bands of `BAND` minimum hashes of its shingles, and the
-# fingerprints that meet at a key are compared, WIDTH bits each; those with the asked share of
-# equal bits are linked. Of pairs with Jaccard 0.8, all but 1 in 2,700 meet.
+# are therefore keys from the text: `BANDS` bands of `BAND` minimum hashes of its shingles. The
+# fingerprints that meet at a key, WIDTH bits each, are candidates if few enough bits differ
+# (loose_bits()). Each component of candidates then comes together once more with its exact sets
+# of shingles (64-bit hashes of them), and only pairs with the asked Jaccard similarity are
+# linked. Of pairs with Jaccard 0.8, all but 1 in 2,700 meet.
 BANDS, BAND, WIDTH = 20, 5, 256
 GOLDEN, MIX = 0x9E3779B97F4A7C15, [np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)]
 
@@ -250,12 +300,25 @@ def mixed(h: np.ndarray, seed: int) -> np.ndarray:
     return h ^ h >> np.uint64(31)
 
 
-def signature(text: str, words: int) -> tuple[bytes, np.ndarray]:
-    """(fingerprint of WIDTH bits, keys of BANDS bands)."""
+def shingle_set(text: str, words: int) -> np.ndarray:
+    """The sorted hashes of the text's different shingles."""
     w = text.encode().lower().split()
     n = max(len(w) - words + 1, 1)
     shingles = [b" ".join(w)] if n < 2 else map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False))
-    h = np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64, n)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64, n))
+
+
+def loose_bits(similarity: float) -> int:
+    """Bits in which candidates may differ. Of sets with this Jaccard similarity a share of bits differs that is the
+    angle between them over pi, up to a quarter more for sets of few shingles; five standard deviations are added."""
+    p = min(0.5, 1.25 * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    return math.ceil(WIDTH * p + 5 * math.sqrt(WIDTH * p * (1 - p)))
+
+
+def signature(text: str, words: int) -> tuple[bytes, np.ndarray]:
+    """(fingerprint of WIDTH bits and 128 bits that name the set of shingles, keys of BANDS bands)."""
+    h = shingle_set(text, words)
+    n = len(h)
     set_bits = np.zeros(WIDTH, np.int64)
     least = np.full(BANDS * BAND, np.uint64(0xFFFFFFFFFFFFFFFF))
     for at in range(0, n, 1 << 14):  # long texts in blocks
@@ -267,7 +330,7 @@ def signature(text: str, words: int) -> tuple[bytes, np.ndarray]:
     keys = np.arange(BANDS, dtype=np.uint64)
     for k in range(BAND):
         keys = mixed(keys ^ least[k::BAND], k + 1)
-    return np.packbits(set_bits * 2 > n, bitorder="little").tobytes(), keys
+    return np.packbits(set_bits * 2 > n, bitorder="little").tobytes() + xxhash.xxh3_128_digest(h.tobytes()), keys
 
 
 MULTIPLIERS = mixed(np.arange(1, BANDS * BAND + 1, dtype=np.uint64), 7) | np.uint64(1)
@@ -276,23 +339,37 @@ MULTIPLIERS = mixed(np.arange(1, BANDS * BAND + 1, dtype=np.uint64), 7) | np.uin
 def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", hot_group: int = HOT_GROUP) -> DataFrame:
     """The rows of docs, all columns, less those in a group of similar documents that has a smaller id.
 
-    Rows that share the group's smallest id stay, as do rows without id if their whole group has none. Texts with one
-    fingerprint are one before they are compared, their keys those of one of them.
+    Similar: Jaccard similarity of the sets of shingles, similarity or more; a group is what such pairs connect. Rows that
+    share the group's smallest id stay, as do rows without id if their whole group has none. Texts with one set are one
+    before they are compared. All text is shuffled once; shingles are shuffled of candidates only.
     """
-    place = docs.columns.index(text_col)
-    most_bits = int((1 - similarity) * WIDTH + 1e-9)
-    own = [T.StructField("__fp", T.BinaryType()), T.StructField("__keys", T.ArrayType(T.LongType()))]
+    key = F.unhex(F.md5(text_of(text_col)))
+    own = T.StructType([field(docs, id_col, "id"), T.StructField("of_text", T.BinaryType()), T.StructField("fp", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            signed = [signature(t or "", words) for t in batch.column(place).to_pylist()]
+            signed = [signature(t, words) for t in batch.column(2).to_pylist()]
             fps, keys = pa.array([s[0] for s in signed], pa.binary()), pa.array([s[1].view(np.int64) for s in signed], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, fps, keys], names=[*batch.schema.names, "__fp", "__keys"])
-
-    rows = materialize(docs.mapInArrow(sign, T.StructType([*docs.schema.fields, *own])), "signed")
-    groups = materialize(rows.groupBy("__fp").agg(F.min(id_col).alias("first_id"), F.min("__keys").alias("keys")), "groups")
-    roots = linked(groups.select(F.explode("keys").alias("key"), F.col("__fp").alias("fp")), most_bits, hot_group)
-    named = groups.join(roots, groups["__fp"] == roots["node"], "left").select("__fp", "first_id", F.coalesce("root", "__fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("first_id").alias("__least"))
-    named = materialize(named.join(least, "root").select(F.col("__fp").alias("__group"), "__least"), "components")
-    return rows.join(named, F.col("__fp") == F.col("__group")).where(F.col(id_col).eqNullSafe(F.col("__least"))).select(*docs.columns)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fps, keys], names=own.names)
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = pa.array([shingle_set(t, words).tobytes() for t in batch.column(2).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sets], names=["key", "fp", "shingles"])
+
+    rows = materialize(docs.select(F.col(id_col).alias("id"), key.alias("of_text"), text_of(text_col).alias("text")).mapInArrow(sign, own), "signed")
+    groups = materialize(rows.groupBy("fp").agg(F.min("id").alias("first_id"), F.min("keys").alias("keys")), "groups")
+    loose = linked(groups.select(F.explode("keys").alias("key"), "fp"), loose_bits(similarity), hot_group)
+    named = groups.select("fp", F.col("first_id").alias("__first")).join(loose, F.col("fp") == F.col("node"), "left").select("fp", "__first", F.xxhash64("root").alias("h"), "root")
+    named = named.select("fp", "__first", F.when(F.col("root").isNotNull(), F.col("h")).alias("__candidates"))
+    of_text = rows.select("of_text", "fp").distinct().join(named, "fp").select(F.col("of_text").alias("__of"), F.col("fp").alias("__fp"), "__first", "__candidates")
+    placed = materialize(docs.join(of_text, key == F.col("__of")).drop("__of"), "placed")
+    some = placed.where("__candidates is not null")
+    firsts = some.where(F.col(id_col).eqNullSafe(F.col("__first"))).select("__candidates", "__fp", text_of(text_col).alias("text"))
+    sets = materialize(firsts.mapInArrow(spell, "key long, fp binary, shingles binary"), "shingles")
+    exact = linked(sets, loose_bits(similarity), hot_group, similarity)
+    least = named.where("__candidates is not null").join(exact, F.col("fp") == F.col("node"), "left").select("fp", "__first", F.coalesce("root", "fp").alias("root"))
+    least = least.join(least.groupBy("root").agg(F.min("__first").alias("__least")), "root").select(F.col("fp").alias("__node"), "__least")
+    least = materialize(least, "components")
+    alone = placed.where(F.col("__candidates").isNull() & F.col(id_col).eqNullSafe(F.col("__first"))).select(*docs.columns)
+    return alone.unionByName(some.join(least, F.col("__fp") == F.col("__node")).where(F.col(id_col).eqNullSafe(F.col("__least"))).select(*docs.columns))

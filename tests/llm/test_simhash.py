@@ -103,3 +103,34 @@ def test_drop_similar(spark, hot):
     others = [" ".join(base[:130]) + " " + sentence(50 + i, 270) for i in range(20)] + [sentence(100 + i, 80) for i in range(40)]
     out = {r["doc_id"] for r in S.drop_similar(frame(spark, [" ".join(base), *copies, *others]), hot_group=hot).collect()}
     assert out == {0, *range(1 + len(copies), 1 + len(copies) + len(others))}
+
+
+def grams_of(text: str, words: int = 5) -> set:
+    w = text.lower().split()
+    return {" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))}
+
+
+def test_drop_similar_at_the_exact_similarity(spark):
+    """Planted pairs with Jaccard 0.5 to 0.85: those under 0.8 stay, the others go; the larger group is dealt over cells."""
+    texts, similar = [], []
+    for seed in range(60):
+        w = sentence(300 + seed, 300).split()
+        for cut in range(150):
+            other = [*w[: 300 - cut], *sentence(900 + seed, 1 + seed % 3 * cut // 2).split()]
+            j = len(grams_of(" ".join(w)) & grams_of(" ".join(other))) / len(grams_of(" ".join(w)) | grams_of(" ".join(other)))
+            if j <= 0.85 - 0.35 * seed / 60:
+                break
+        texts += [" ".join(w), " ".join(other)]
+        similar.append(j)
+    assert min(similar) < 0.52 and max(similar) > 0.83 and sum(0.7 < j < 0.8 for j in similar) > 10
+    base = sentence(77, 200).split()
+    texts += [" ".join([*base[: 4 * i], *sentence(700 + i, 9).split(), *base[4 * i + 9 :]]) for i in range(40)]  # pairs at about 0.8, on both sides
+    grams = [grams_of(t) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if label[i] != label[j] and len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j]):
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    out = {r["doc_id"] for r in S.drop_similar(frame(spark, texts), hot_group=16).collect()}
+    assert out == set(label) and len(out) < len(texts)
