@@ -2,7 +2,8 @@
 
 Noisy channel: a token that may be disguised (letters mixed with digits or symbols, letters
 spelt apart, letters repeated) becomes a lattice of characters. Each symbol has the letters it
-may stand for, a run of one letter may be written once or twice, separators may be nothing.
+may stand for, a run of one letter may be written once or twice, separators may be nothing,
+and letters spelt apart may be cut into words anywhere. Any length is decoded.
 Viterbi decoding under a character trigram model finds the likeliest word. The model is
 counted over all documents. Plain tokens decode to themselves and are not decoded.
 
@@ -37,7 +38,7 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 SEPARATORS = set(".-_*~'’`·•/\\,:;^=#%&​­")
 #: Log-probabilities of the channel: a symbol for a letter, a separator or repetition that is dropped.
 SWAP, DROP = -1.0, -0.5
-#: Longer tokens are not disguised words.
+#: Longer tokens seldom come again: they are decoded each time, not kept.
 LONGEST = 40
 PLAIN = re.compile(r"[^\W\d_]+\Z")
 ENDS = re.compile(r"^[^\w@$!|+(€£¥]+|[^\w@$]+\Z|([^\w])\1+\Z|_+\Z")
@@ -67,9 +68,12 @@ class CharModel:
             return self.least
 
 
-def lattice(token: str) -> list[list[tuple[str, float]]]:
-    """For each place the strings it may stand for, with the channel's log-probability; runs of one letter are one place."""
-    out, at = [], 0
+def lattice(token: str, cut: bool = False) -> Iterator[list[tuple[str, float]]]:
+    """For each place the strings it may stand for, with the channel's log-probability; runs of one letter are one place.
+
+    With cut, a word may end (a space) after each letter that is left.
+    """
+    at = 0
     while at < len(token):
         c, end = token[at], at + 1
         while end < len(token) and token[end] == c:
@@ -85,27 +89,35 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
             options = [("", n * DROP)]
         else:
             options = [("", 4 * n * DROP)]
-        out.append(options)
+        if cut and n > 1 and (c.isalpha() or c in LEET):
+            for x in c if c.isalpha() else LEET[c]:
+                options += [(x * i + " " + x * j, (n - i - j) * DROP if c.isalpha() else SWAP * n) for i in (1, 2) for j in (1, 2) if i + j <= n]
+        if cut and end < len(token):
+            options += [(letters + " ", cost) for letters, cost in options if letters]
+        yield options
         at = end
-    return out
 
 
-def decode(token: str, model: CharModel) -> tuple[str, float]:
-    """The likeliest word of the lattice and its log-probability; states are the last two letters."""
-    best = {(" ", " "): (0.0, "")}
-    for options in lattice(token):
-        reached: dict[tuple[str, str], tuple[float, str]] = {}
-        for (a, b), (p, word) in best.items():
+def decode(token: str, model: CharModel, cut: bool = False) -> tuple[str, float]:
+    """The likeliest word of the lattice, or words with spaces between, and its log-probability; states are the last two letters."""
+    best: dict[tuple[str, str], tuple[float, tuple]] = {(" ", " "): (0.0, ())}
+    for options in lattice(token, cut):
+        reached: dict[tuple[str, str], tuple[float, tuple]] = {}
+        for (a, b), (p, path) in best.items():
             for letters, cost in options:
                 x, y, q = a, b, p + cost
                 for c in letters:
                     q += model.step(x, y, c)
-                    x, y = y, c
+                    x, y = (" ", " ") if c == " " else (y, c)
                 if (x, y) not in reached or q > reached[x, y][0]:
-                    reached[x, y] = (q, word + letters)
+                    reached[x, y] = (q, (path, letters))
         best = reached
-    p, word = max((p + model.step(a, b, " "), word) for (a, b), (p, word) in best.items())
-    return word, p
+    p, path = max(((p if cut and b == " " else p + model.step(a, b, " "), path) for (a, b), (p, path) in best.items()), key=lambda x: x[0])
+    word = []
+    while path:
+        path, letters = path
+        word.append(letters)
+    return "".join(reversed(word)), p
 
 
 class Restorer:
@@ -113,6 +125,7 @@ class Restorer:
 
     def __init__(self, model: CharModel):
         self.model, self.memo = model, Memo(self.word, 150_000)
+        self.single = Memo(lambda c: decode(c, model)[1], 5_000)
 
     def word(self, token: str) -> str:
         """The word of one token in lower case; empty if it has no letter at all."""
@@ -122,19 +135,19 @@ class Restorer:
         core = ENDS.sub("", core)
         if not core or PLAIN.match(core) and not REPEATED.search(core):
             return core
-        if len(core) > LONGEST or not any(c.isalpha() for c in core):
+        if not any(c.isalpha() for c in core):
             return ""
         return decode(core, self.model)[0]
 
     def words(self, text: str) -> set[str]:
         text = text.lower()
-        found = set(map(self.memo.__getitem__, set(text.split())))
+        found = {self.memo[t] if len(t) <= LONGEST else self.word(t) for t in set(text.split())}
         for m in SINGLES.finditer(text):
-            if len(m[0]) <= 2 * LONGEST:
-                parts = re.findall(r"[^ .\-_*~]", m[0])
-                word, p = decode("".join(parts), self.model)
-                if p > sum(decode(c, self.model)[1] for c in parts):  # else they are words of one letter
-                    found.add(word)
+            parts = re.sub(r"[ .\-_*~]+", "", m[0])
+            word, p = decode(parts, self.model)
+            if p > sum(map(self.single.__getitem__, parts)):  # else they are words of one letter
+                found.add(word)
+            found.update(decode(parts, self.model, cut=True)[0].split())
         found.discard("")
         return found
 

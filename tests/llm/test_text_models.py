@@ -131,3 +131,21 @@ def test_viterbi_restores():
         for how in range(1, 6):
             assert w in restorer.words("the " + disguised(w, how) + " garden"), (w, how)
     assert restorer.words("Station a b") >= {"station"}
+
+
+def test_viterbi_restores_any_length_and_cuts_words():
+    """Runs and spelt-out sentences over the former caps of 40 and 80 characters; insults that are not first in a spaced run."""
+    counts: dict[str, int] = {}
+    for w in INSULTS * 20 + "the and music garden window doctor station paper an you are a stupid".split() * 20:
+        s = f"  {w}  "
+        for k in range(len(s) - 2):
+            counts[s[k : k + 3]] = counts.get(s[k : k + 3], 0) + 1
+    restorer = T.Restorer(T.CharModel(list(counts.items())))
+    assert "stupid" in restorer.words("you st" + "u" * 90 + "pid")
+    assert "idiot" in restorer.words("i" * 50 + "d1" + "o" * 50 + "t")
+    assert {"an", "idiot"} <= restorer.words("you are a n i d i o t")
+    assert {"you", "are", "an", "idiot"} <= restorer.words(" ".join("youareanidiot"))
+    long = "themusicstationandthegardenwindowandthedoctorpaperyouarestupidscumandthepaper"
+    assert len(" ".join(long)) > 80 and {"stupid", "scum", "music"} <= restorer.words(" ".join(long))
+    assert "idiot" in restorer.words(" ".join("themusic" * 3_000 + "an1d1ot"))
+    assert restorer.words(" ".join("x" * 500)) <= {"x", "xx"}
