@@ -30,6 +30,8 @@ NAMED = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'
 HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|\Z)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: Their content is never text of the page.
 UNSEEN = {"script", "style", "noscript", "template", "title", "textarea", "select", "iframe", "svg", "object", "canvas", "math"}
+#: Of these, the ones that a slash before the bracket closes.
+FOREIGN = {"svg", "math"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 ARTICLE = {"article", "main"}
@@ -96,6 +98,8 @@ def blocks(page: str) -> list[Block]:
                 if stack[k][0] == tag:
                     del stack[k:]
                     break
+        elif tag in FOREIGN and m[3].endswith("/"):
+            continue  # closed by itself
         elif tag in UNSEEN:
             stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
             at = stop.end() if stop else len(page)

@@ -149,3 +149,13 @@ def test_viterbi_restores_any_length_and_cuts_words():
     assert len(" ".join(long)) > 80 and {"stupid", "scum", "music"} <= restorer.words(" ".join(long))
     assert "idiot" in restorer.words(" ".join("themusic" * 3_000 + "an1d1ot"))
     assert restorer.words(" ".join("x" * 500)) <= {"x", "xx"}
+
+
+def test_self_closed_foreign_elements():
+    """<svg/> and <math/> hide nothing; an open svg hides its content, and a slash closes no script."""
+    tree = H.trained()
+    for mark in ("<svg/>", '<svg width="1" />', "<math/>", '<SVG class="i"/>'):
+        page = "<div id=content><p>" + sentence(1, 60) + f" {mark} " + sentence(2, 40) + "</p></div>"
+        assert H.main_text(page, tree) == sentence(1, 60) + " " + sentence(2, 40)
+    for mark in ("<svg><text>no</text></svg>", "<svg><path/></svg>", "<script/>no</script>"):
+        assert H.main_text("<div id=content><p>" + sentence(1, 60) + f" {mark} " + sentence(2, 40) + "</p></div>", tree) == sentence(1, 60) + " " + sentence(2, 40)
