@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,3 +73,18 @@ def sampled(df: DataFrame, n: int, id_col: str, *columns: str) -> DataFrame:
     chosen = few.where(F.col("__h") <= (low if last is None else last)).select("__h", *columns)
     row = F.min(F.struct(*columns)).alias("row")
     return chosen.repartition(partitions(df.sparkSession), "__h").groupBy("__h").agg(row).select("row.*")
+
+
+def sampled_each(df: DataFrame, n: int, id_col: str, by: str, *columns: str) -> DataFrame:
+    """Like sampled(), for each value of by: the rows whose id has one of the n smallest hashes of that value's rows.
+
+    The hashes that are sorted are about 4 n for each value, the broadcast tables have a row for each value.
+    """
+    low = F.least(F.lit(float(1 << 63)), F.lit(-float(1 << 63)) + F.lit(4.0 * n * (1 << 64)) / F.count(F.lit(1))).alias("__low")
+    lows = df.groupBy(F.col(by).alias("__by")).agg(low)
+    few = df.withColumn("__h", F.xxhash64(id_col)).join(F.broadcast(lows), F.col(by) == F.col("__by")).where(F.col("__h").cast("double") <= F.col("__low")).drop("__low")
+    place = F.row_number().over(Window.partitionBy("__by").orderBy("__h"))
+    lasts = few.select("__by", "__h").distinct().withColumn("__place", place).where(F.col("__place") <= n).groupBy(F.col("__by").alias("__of")).agg(F.max("__h").alias("__last"))
+    chosen = few.join(F.broadcast(lasts), F.col("__by") == F.col("__of")).where(F.col("__h") <= F.col("__last")).select("__by", "__h", *columns)
+    row = F.min(F.struct(*columns)).alias("row")
+    return chosen.repartition(partitions(df.sparkSession), "__by", "__h").groupBy("__by", "__h").agg(row).select("row.*")

@@ -10,7 +10,7 @@ language's slice is. The largest corrected share decides; ties go to the first l
 A language contains the n-grams that occur in over `least_share` of its training documents, so
 strays from mixed documents stay out and what reaches the driver is bounded: at most
 n-grams per document / least_share for each language. Training takes labelled documents, at
-most `train_docs` (those of smallest hash); the prediction reads every whole text.
+most `train_docs` of each language (those of smallest hash); the prediction reads every whole text.
 
 Texts that are null or have no letter are `und` with score 0, and all are where nothing can be
 learned. Repeated rows and null ids are kept; an empty table gives an empty result; other
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm._common import field, sampled, slices
+from tessella.llm._common import field, sampled_each, slices
 
 SIZES = (2, 3, 4)
 M = np.uint64(0x9E3779B97F4A7C15)
@@ -52,7 +52,7 @@ def gram_hashes(text: str) -> np.ndarray:
 
 def training_grams(docs: DataFrame, train_docs: int, least_share: float) -> list:
     """(lang, gram) that occur in over least_share of the language's training documents."""
-    chosen = sampled(docs.where("lang is not null and text is not null"), train_docs, "doc_id", "lang", "text")
+    chosen = sampled_each(docs.where("lang is not null and text is not null"), train_docs, "doc_id", "lang", "lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

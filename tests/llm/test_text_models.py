@@ -4,6 +4,7 @@ from tessella.llm import decontaminate as D
 from tessella.llm import html_text as H
 from tessella.llm import language as L
 from tessella.llm import toxicity as T
+from tessella.llm._common import sampled_each
 from tests.llm.common import empty, frame, odd, sentence
 
 
@@ -159,3 +160,13 @@ def test_self_closed_foreign_elements():
         assert H.main_text(page, tree) == sentence(1, 60) + " " + sentence(2, 40)
     for mark in ("<svg><text>no</text></svg>", "<svg><path/></svg>", "<script/>no</script>"):
         assert H.main_text("<div id=content><p>" + sentence(1, 60) + f" {mark} " + sentence(2, 40) + "</p></div>", tree) == sentence(1, 60) + " " + sentence(2, 40)
+
+
+def test_language_sample_has_each_language(spark):
+    """One language has 1 row in 100, the sample 20 rows of each language: both are learned."""
+    r = random.Random(4)
+    docs = [(i, " ".join(r.choices(["kato", "melu", "sipa"] if i % 100 else ["brecht", "klingt", "dworst"], k=20)), "zz" if i % 100 == 0 else "aa") for i in range(3000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    n = {x["lang"]: x["count"] for x in sampled_each(df, 20, "doc_id", "lang", "lang", "text").groupBy("lang").count().collect()}
+    assert n == {"aa": 20, "zz": 20}
+    assert {x[0] for x in L.training_grams(df, 5, 0.02)} == {"aa", "zz"}
