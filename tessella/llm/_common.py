@@ -15,13 +15,16 @@ from pyspark.sql import types as T
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where it is unset (tests on one machine) a temporary folder is made.
+    Only where it is unset and the master is local (tests on one machine) a temporary folder is made; on a
+    cluster a folder of one machine would be lost with it, so that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = found.get() if found.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: a folder that driver and executors share is needed")
         base = tempfile.mkdtemp(prefix="tessella-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -30,11 +33,55 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write df to the shared folder and read it again: the lineage is cut, an executor's loss costs nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = step_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Folders that this process has written steps to, by application.
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def step_path(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared folder, which release() deletes."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the steps that this application has written, when the results that read them are no longer needed; how many there were."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    return len(paths)
+
+
+#: A key is hot if it has over 1 / HOT_SHARE of all rows, so fewer than HOT_SHARE keys are; small tables have none.
+HOT_SHARE, HOT_LEAST = 20_000, 64
+
+
+def hot_rows(rows: int) -> int:
+    """The number of rows over which a key of a table of this size is hot."""
+    return max(HOT_LEAST, rows // HOT_SHARE)
+
+
+def join_one(many: DataFrame, one: DataFrame, key: str, keys: DataFrame | None = None) -> DataFrame:
+    """many joined with one, which has a row a key at most; rows whose key is not in one are left out.
+
+    Rows of hot keys stay where they are: what they join, fewer than HOT_SHARE rows, is broadcast. keys: a table that
+    has the key of each row of many and is cheap to read, if many is not.
+    """
+    keys = (many if keys is None else keys).select(key)
+    hot = materialize(keys.groupBy(key).count().where(F.col("count") > hot_rows(keys.count())).select(key), "hot-keys")
+    if hot.isEmpty():
+        return many.join(one, key)
+    few = F.broadcast(one.join(F.broadcast(hot), key, "left_semi"))
+    return many.join(few, key).unionByName(many.join(F.broadcast(hot), key, "left_anti").join(one, key))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

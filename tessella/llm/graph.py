@@ -1,8 +1,12 @@
 """Connected components of an edge table by alternating large and small stars.
 
-Every round is a group minimum and a join, written to the shared folder; the number of
+Every round is group minima and joins, written to the shared folder; the number of
 rounds grows with the logarithm of the longest path. Nothing is gathered to the driver but
 two sums a round.
+
+A hub, a node with a large share of all edges, meets its minimum without a shuffle: minima are
+combined before they are shuffled, and those of hubs (fewer than HOT_SHARE rows) are broadcast
+to the edges, which stay where they are. Only edges of other nodes are dealt by node.
 """
 
 from __future__ import annotations
@@ -10,7 +14,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm._common import materialize
+from tessella.llm._common import hot_rows, materialize
+
+
+def with_least(pairs: DataFrame, most: int) -> DataFrame:
+    """pairs (u, v) with m, the least v of u; u with over `most` rows get theirs by broadcast."""
+    low = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    hubs = low.where(F.col("n") > most).select("u", F.col("m").alias("hub_m"))  # fewer than all pairs / most
+    marked = pairs.join(F.broadcast(hubs), "u", "left")
+    others = marked.where("hub_m is null").select("u", "v").join(low.where(F.col("n") <= most).select("u", "m"), "u")
+    return marked.where("hub_m is not null").select("u", "v", F.col("hub_m").alias("m")).unionByName(others.select("u", "v", "m"))
 
 
 def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
@@ -22,12 +35,12 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     e = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     last = stamp(e)
     for _ in range(most_rounds):
+        most = hot_rows(2 * last[0])
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        e = materialize(small, "edges")
+        large = with_least(both, most).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        large = materialize(large, "large")
+        small = with_least(large, most).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+        e = materialize(small.where("u <> v").distinct(), "edges")
         if (now := stamp(e)) == last:
             break
         last = now

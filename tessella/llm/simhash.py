@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm._common import field, materialize, partitions, slices, text_of
+from tessella.llm._common import HOT_SHARE, field, join_one, materialize, partitions, slices, text_of
 from tessella.llm.graph import components
 
 #: Bits in which linked fingerprints may differ; the anchors' radius follows from it.
@@ -235,13 +235,19 @@ def linked(keyed: DataFrame, most_bits: int, hot_group: int = HOT_GROUP, least:
             yield pa.RecordBatch.from_arrays([column_of(fp[u], rows.column(2).type), column_of(fp[v], rows.column(2).type)], names=["u", "v"])
 
     load = F.greatest(F.count(F.lit(1)) / hot_group, F.sum(F.length("shingles")) / CELL_BYTES) if more else F.count(F.lit(1)) / hot_group
-    hot = materialize(keyed.groupBy("key").agg(load.alias("load")).where("load > 1").select("key", F.ceil("load").cast("int").alias("parts")), "hot")
+    hot = materialize(keyed.groupBy("key").agg(load.alias("load"), F.count(F.lit(1)).alias("n")).where("load > 1").select("key", "n", F.ceil("load").cast("int").alias("parts")), "hot")
     cold = hot.isEmpty()
     placed = keyed.select("key", F.lit(None).cast("int").alias("parts"), F.lit(0).alias("cell"), "fp", *more)
     cells = placed.select("key", "cell", "fp", *more)
     if not cold:
+        # The largest keys, fewer than HOT_SHARE, meet their number of cells where they are; the others are dealt by key.
+        most = hot.agg(F.sum("n")).first()[0] // HOT_SHARE
+        largest = F.broadcast(hot.where(F.col("n") > most).select("key", F.col("parts").alias("most_parts")))
+        marked = keyed.join(largest, "key", "left")
+        others = marked.where("most_parts is null").drop("most_parts").join(hot.where(F.col("n") <= most).select("key", "parts"), "key", "left")
+        dealt = marked.where("most_parts is not null").withColumnRenamed("most_parts", "parts").select("key", "fp", *more, "parts").unionByName(others.select("key", "fp", *more, "parts"))
         cell = F.coalesce(F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"), F.lit(0))
-        placed = keyed.join(hot, "key", "left").select("key", "parts", cell.alias("cell"), "fp", *more)
+        placed = dealt.select("key", "parts", cell.alias("cell"), "fp", *more)
         leaders = placed.where(F.col("parts").isNotNull() & (F.col("cell") < LEADERS)).groupBy("key", "parts", "cell").agg(F.min(F.struct("fp", *more)).alias("row")).select("key", "parts", "row.*")
         everywhere = leaders.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("cell"), "fp", *more)
         cells = placed.select("key", "cell", "fp", *more).unionByName(everywhere)
@@ -254,7 +260,7 @@ def linked(keyed: DataFrame, most_bits: int, hot_group: int = HOT_GROUP, least:
     split = materialize(of_key.where("n > 1").select("key", F.col("most.root").alias("main")), "split")
     if split.isEmpty():
         return roots
-    held = known.join(split, "key")
+    held = join_one(known, split, "key")
     guests = held.where("root <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("cell"), "fp", "root", F.lit(True).alias("guest"), *more)
     both = held.select("key", "cell", "fp", "root", F.lit(False).alias("guest"), *more).unionByName(guests)
     links = both.repartition(n, "key", "cell").sortWithinPartitions("key", "cell", "guest").mapInArrow(compare_rest, pair)
@@ -274,10 +280,10 @@ def near_groups(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_co
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(fp.view(np.int64))], names=["key", "fp"])
 
     roots = linked(groups.select("fp").repartition(n).mapInArrow(spread, "key long, fp long"), MOST_BITS)
-    named = groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    named = materialize(groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")), "roots")
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = materialize(named.join(least, "root").select("fp", "component_id"), "components")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = materialize(join_one(named, least, "root").select("fp", "component_id"), "components")
+    return join_one(rows, named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 # Groups by a similarity. A covering code serves thresholds of a few bits: the replicas of a
@@ -343,8 +349,9 @@ def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_co
     share the group's smallest id stay, as do rows without id if their whole group has none. Texts with one set are one
     before they are compared. All text is shuffled once; shingles are shuffled of candidates only.
     """
-    key = F.unhex(F.md5(text_of(text_col)))
+    of, id_of = F.unhex(F.md5(text_of(f"row.`{text_col}`"))), F.col(f"row.`{id_col}`")
     own = T.StructType([field(docs, id_col, "id"), T.StructField("of_text", T.BinaryType()), T.StructField("fp", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    whole = docs.select(F.struct("*").alias("row"))  # so that no column of docs clashes with one of ours
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -357,19 +364,21 @@ def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_co
             sets = pa.array([shingle_set(t, words).tobytes() for t in batch.column(2).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sets], names=["key", "fp", "shingles"])
 
-    rows = materialize(docs.select(F.col(id_col).alias("id"), key.alias("of_text"), text_of(text_col).alias("text")).mapInArrow(sign, own), "signed")
+    rows = materialize(whole.select(id_of.alias("id"), of.alias("of_text"), text_of(f"row.`{text_col}`").alias("text")).mapInArrow(sign, own), "signed")
+    # fp names the set of shingles, so the keys of rows with one fp are equal.
     groups = materialize(rows.groupBy("fp").agg(F.min("id").alias("first_id"), F.min("keys").alias("keys")), "groups")
     loose = linked(groups.select(F.explode("keys").alias("key"), "fp"), loose_bits(similarity), hot_group)
-    named = groups.select("fp", F.col("first_id").alias("__first")).join(loose, F.col("fp") == F.col("node"), "left").select("fp", "__first", F.xxhash64("root").alias("h"), "root")
-    named = named.select("fp", "__first", F.when(F.col("root").isNotNull(), F.col("h")).alias("__candidates"))
-    of_text = rows.select("of_text", "fp").distinct().join(named, "fp").select(F.col("of_text").alias("__of"), F.col("fp").alias("__fp"), "__first", "__candidates")
-    placed = materialize(docs.join(of_text, key == F.col("__of")).drop("__of"), "placed")
-    some = placed.where("__candidates is not null")
-    firsts = some.where(F.col(id_col).eqNullSafe(F.col("__first"))).select("__candidates", "__fp", text_of(text_col).alias("text"))
+    named = groups.select("fp", "first_id").join(loose, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.when(F.col("root").isNotNull(), F.xxhash64("root")).alias("candidates"))
+    named = materialize(named, "candidates")
+    of_text = join_one(rows.select("of_text", "fp").distinct(), named, "fp")
+    placed = materialize(join_one(whole.withColumn("of_text", of), of_text, "of_text", rows), "placed")
+    some = placed.where("candidates is not null")
+    firsts = some.where(id_of.eqNullSafe(F.col("first_id"))).select("candidates", "fp", text_of(f"row.`{text_col}`").alias("text"))
     sets = materialize(firsts.mapInArrow(spell, "key long, fp binary, shingles binary"), "shingles")
     exact = linked(sets, loose_bits(similarity), hot_group, similarity)
-    least = named.where("__candidates is not null").join(exact, F.col("fp") == F.col("node"), "left").select("fp", "__first", F.coalesce("root", "fp").alias("root"))
-    least = least.join(least.groupBy("root").agg(F.min("__first").alias("__least")), "root").select(F.col("fp").alias("__node"), "__least")
+    least = named.where("candidates is not null").join(exact, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    least = materialize(least, "exact-roots")
+    least = join_one(least, least.groupBy("root").agg(F.min("first_id").alias("least_id")), "root").select("fp", "least_id")
     least = materialize(least, "components")
-    alone = placed.where(F.col("__candidates").isNull() & F.col(id_col).eqNullSafe(F.col("__first"))).select(*docs.columns)
-    return alone.unionByName(some.join(least, F.col("__fp") == F.col("__node")).where(F.col(id_col).eqNullSafe(F.col("__least"))).select(*docs.columns))
+    alone = placed.where(F.col("candidates").isNull() & id_of.eqNullSafe(F.col("first_id"))).select("row.*")
+    return alone.unionByName(join_one(some, least, "fp", some).where(id_of.eqNullSafe(F.col("least_id"))).select("row.*"))
