@@ -8,9 +8,9 @@ from tests.llm.common import empty, frame, odd, sentence
 WHITE = re.compile(r"[\x20\x09-\x0D]")
 
 
-def brute_groups(texts: list) -> dict[int, tuple]:
+def brute_groups(texts: list | dict) -> dict[int, tuple]:
     groups: dict[str, list] = {}
-    for i, t in enumerate(texts):
+    for i, t in texts.items() if isinstance(texts, dict) else enumerate(texts):
         groups.setdefault(WHITE.sub("", t or ""), []).append((-len(t or ""), i))
     return {i: (min(g)[1], len(g), i == min(g)[1], hashlib.sha256(n.encode()).hexdigest()) for n, g in groups.items() for _, i in g}
 
@@ -83,6 +83,34 @@ def test_markov_models_tell_random_strings(spark):
     assert sum(n[i] for i in range(200)) >= 195 and sum(n[200 + i] for i in range(200)) <= 2
 
 
+def test_scan_is_linear_and_exact_in_long_texts(spark):
+    """A run of a million characters, and 100,000 assignments in one text: each against brute force, in seconds."""
+    import random
+    import time
+
+    r = random.Random(5)
+    run = "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=1_000_000))
+    many = "é ".join(f"password={'x' * (i % 9)} {'0123456789abcdef' * 2 if i % 7 == 0 else ''}" for i in range(100_000))
+    model = X.train(X.samples(odd(spark)))
+    began = time.perf_counter()
+    out = {i: r for i, r in enumerate(sorted(X.scan(frame(spark, [run, many]), model).collect()))}
+    assert time.perf_counter() - began < 60
+    assert out[0]["n_markov"] == 1 and out[0]["spans"] == "markov:0:1000000"
+    said = [f"{X.KINDS[k]}:{a}:{b}" for a, k, b in brute_spans(many)]
+    assert out[1]["base_sha256"] == hashlib.sha256(",".join(said).encode()).hexdigest() and out[1]["n_hex"] == 14_286
+
+
+def test_running_sums(spark):
+    """Block by block, with as many levels as there are."""
+    for n in (0, 1, 63, 64, 65, 4096, 4097, 300_000):
+        got = spark.range(1).selectExpr(f"transform(sequence(1, {n + 1}), i -> i % 7) AS x").selectExpr(f"{X.starts_of('x', 2)} AS s", "x").first()
+        at, want = 0, []
+        for x in got["x"]:
+            want.append(at)
+            at += x
+        assert got["s"] == want
+
+
 def test_secrets_odd_and_empty(spark):
     out = X.find_secrets(odd(spark)).collect()
     assert len(out) == 12 and all(r["spans"] == "" for r in out)
