@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm._common import documents, shared_dir
+from tessella.llm._common import documents, step_path
 from tessella.llm.decontaminate import contained
 from tessella.llm.exact_dedup import exact_groups
 from tessella.llm.html_text import extract
@@ -34,7 +33,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/archive-{uuid.uuid4().hex}"
+    path = step_path(spark, "archive")
     write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     return archive_index(spark, path)
 
