@@ -1,6 +1,7 @@
 """Language identification with language-bitmask n-gram filters.
 
-The filter is a Bloom filter sliced by bit: each place holds a mask with one bit a language.
+The filter is a Bloom filter sliced by bit: each place holds a mask with one bit a language,
+in as many 64-bit words as the languages need.
 An n-gram sets its language's bit at `hashes` places; the masks at these places, and-ed,
 are all languages that contain it, in one look-up. A text's n-grams of letters are looked up,
 the bits counted per language, and each count is corrected for the filter's false positives:
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,12 +34,20 @@ from tessella.llm._common import field, sampled_each, slices
 
 SIZES = (2, 3, 4)
 M = np.uint64(0x9E3779B97F4A7C15)
-LETTER = re.compile(r"[^\W\d_]")
+#: A letter is what Unicode calls one; numerals such as a half or a Roman twelve are none. Marks belong to the letters they stand on.
+LETTER = regex.compile(r"\p{L}")
+BETWEEN, BETWEEN_ASCII = regex.compile(r"[^\p{L}\p{M}]+"), re.compile(r"[^a-z]+")
+
+
+def words_only(text: str) -> str:
+    """The text in lower case, all but letters one space, a space at both ends."""
+    text = text.lower()
+    return " " + (BETWEEN_ASCII if text.isascii() else BETWEEN).sub(" ", text).strip() + " "
 
 
 def gram_hashes(text: str) -> np.ndarray:
     """64-bit hashes of the text's n-grams: letters in lower case, all else one space between words and at both ends."""
-    points = np.frombuffer((" " + re.sub(r"[\W\d_]+", " ", text.lower()).strip() + " ").encode("utf-32-le"), np.uint32).astype(np.uint64)
+    points = np.frombuffer(words_only(text).encode("utf-32-le"), np.uint32).astype(np.uint64)
     out = []
     for n in SIZES:
         if len(points) < n:
@@ -70,16 +80,15 @@ class GramFilter:
 
     def __init__(self, grams: list, bits: int = 20, hashes: int = 3):
         self.langs = sorted({r[0] for r in grams})
-        if len(self.langs) > 64:
-            raise ValueError("more than 64 languages")
         self.bits, self.hashes = bits, hashes
-        self.masks = np.zeros(1 << bits, np.uint64)
+        self.masks = np.zeros((max(1, -(-len(self.langs) // 64)), 1 << bits), np.uint64)
+        fill = []
         for k, lang in enumerate(self.langs):
             own = np.array([r[1] for r in grams if r[0] == lang], np.int64).view(np.uint64)
             for place in self.places(own):
-                self.masks[place] |= np.uint64(1 << k)
-        fill = np.array([np.count_nonzero(self.masks >> np.uint64(k) & np.uint64(1)) for k in range(len(self.langs))]) / len(self.masks)
-        self.wrong = fill**hashes
+                self.masks[k // 64, place] |= np.uint64(1 << k % 64)
+            fill.append(np.count_nonzero(self.masks[k // 64] >> np.uint64(k % 64) & np.uint64(1)) / (1 << bits))
+        self.wrong = np.array(fill) ** hashes
 
     def places(self, h: np.ndarray) -> Iterator[np.ndarray]:
         """Double hashing."""
@@ -90,14 +99,18 @@ class GramFilter:
     def shares(self, text: str) -> np.ndarray:
         """Corrected shares of the text's n-grams by language."""
         h = gram_hashes(text)
-        held = np.full(len(h), np.uint64(0xFFFFFFFFFFFFFFFF))
-        for place in self.places(h):
-            held &= self.masks[place]
-        if len(self.langs) <= 8:
-            of = np.bincount(held.astype(np.int64) & 255, minlength=256)
-            counts = np.array([of[(np.arange(256) >> k & 1) == 1].sum() for k in range(len(self.langs))], float)
-        else:
-            counts = np.array([np.count_nonzero(held >> np.uint64(k) & np.uint64(1)) for k in range(len(self.langs))], float)
+        places, counts = list(self.places(h)), []
+        for masks in self.masks:
+            held = np.full(len(h), np.uint64(0xFFFFFFFFFFFFFFFF))
+            for place in places:
+                held &= masks[place]
+            left = min(64, len(self.langs) - len(counts))
+            if left <= 8:  # the counts of all masks of eight bits
+                of = np.bincount(held.astype(np.int64) & 255, minlength=256)
+                counts += [of[(np.arange(256) >> k & 1) == 1].sum() for k in range(left)]
+            else:
+                counts += [np.count_nonzero(held >> np.uint64(k) & np.uint64(1)) for k in range(left)]
+        counts = np.array(counts, float)
         return np.maximum(counts - len(h) * self.wrong, 0) / np.maximum(len(h) * (1 - self.wrong), 1)
 
     def predict(self, text: str | None) -> tuple[str, float]:
