@@ -43,17 +43,23 @@ def byte_symbols() -> dict[int, str]:
 
 
 class Memo(dict):
-    """Key -> value, made on demand; emptied at `most` entries to bound memory."""
+    """Key -> value, made on demand; emptied at `most` entries or MOST_CHARS characters of keys to bound memory. Long keys, which seldom come again, are not kept."""
+
+    LONGEST, MOST_CHARS = 256, 16_000_000
 
     def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.chars = make, most, 0
 
     def __missing__(self, key: str):
         value = self.make(key)
-        if len(self) >= self.most:
+        if len(key) > self.LONGEST:
+            return value
+        if len(self) >= self.most or self.chars > self.MOST_CHARS:
             self.clear()
+            self.chars = 0
         self[key] = value
+        self.chars += len(key)
         return value
 
 
