@@ -170,3 +170,100 @@ def test_language_sample_has_each_language(spark):
     n = {x["lang"]: x["count"] for x in sampled_each(df, 20, "doc_id", "lang", "lang", "text").groupBy("lang").count().collect()}
     assert n == {"aa": 20, "zz": 20}
     assert {x[0] for x in L.training_grams(df, 5, 0.02)} == {"aa", "zz"}
+
+
+def test_filter_against_exact_sets():
+    """Over 64 languages: the filter's shares are those of exact sets of n-grams, but for false positives; and only Unicode letters count."""
+    r = random.Random(6)
+    syllables = [a + b for a in "bcdfghklmnprstvw" for b in "aeiou"]
+    own = {f"l{k:03}": ["".join(r.choices(syllables, k=3)) for _ in range(12)] for k in range(70)}
+    sets = {lang: set(L.gram_hashes(" ".join(words)).tolist()) for lang, words in own.items()}
+    f = L.GramFilter([(lang, g if g < 1 << 63 else g - (1 << 64)) for lang, grams in sets.items() for g in grams])
+    assert f.masks.shape[0] == 2 and len(f.langs) == 70
+    for lang in own:
+        text = " ".join(r.choices(own[lang], k=30))
+        grams = L.gram_hashes(text).tolist()
+        exact = [sum(g in sets[x] for g in grams) / len(grams) for x in f.langs]
+        assert max(abs(a - b) for a, b in zip(f.shares(text), exact, strict=True)) < 0.02
+        assert f.predict(text)[0] == lang
+    assert all(f.predict(t) == ("und", 0.0) for t in ("½", "²", "Ⅷ", "①", "٣", "12", " ", "")) and f.predict("ª")[0] != "und"
+
+
+def test_viterbi_against_enumeration():
+    """The decoded word is the likeliest of all words of the lattice, each scored by itself."""
+    import itertools
+
+    counts: dict[str, int] = {}
+    for w in INSULTS * 20 + "the and music garden window doctor station station paper".split() * 5:
+        s = f"  {w}  "
+        for k in range(len(s) - 2):
+            counts[s[k : k + 3]] = counts.get(s[k : k + 3], 0) + 1
+    model = T.CharModel(list(counts.items()))
+
+    def scored(options: tuple) -> float:
+        p, a, b = 0.0, " ", " "
+        for letters, cost in options:
+            p += cost
+            for c in letters:
+                p += model.step(a, b, c)
+                a, b = (" ", " ") if c == " " else (b, c)
+        return p if b == " " and options and options[-1][0].endswith(" ") else p + model.step(a, b, " ")
+
+    for token in ("1d10t", "sc.u_m", "m00rr0n", "p@th3t1c", "xx1", "a!0", "8$4"):
+        best = max(map(scored, itertools.product(*T.lattice(token))))
+        word, p = T.decode(token, model)
+        assert abs(p - best) < 1e-9, (token, word, p, best)
+    for token in ("1d1", "scum", "anid"):
+        best = max(map(scored, itertools.product(*T.lattice(token, True))))
+        assert abs(T.decode(token, model, True)[1] - best) < 1e-9
+
+
+def test_very_long_tokens_are_restored():
+    """Tokens and spaced runs of 50 to 100,000 characters: nothing is left out for its length."""
+    counts: dict[str, int] = {}
+    for w in [*INSULTS * 20, *"the and music garden window doctor station paper you are badword".split() * 20]:
+        s = f"  {w}  "
+        for k in range(len(s) - 2):
+            counts[s[k : k + 3]] = counts.get(s[k : k + 3], 0) + 1
+    restorer = T.Restorer(T.CharModel(list(counts.items())))
+    assert "badword" in restorer.words("b" + "a" * 45 + "dw0rd")
+    for n in (7, 500, 12_500):
+        assert restorer.words("b4dw0rd-" * n) == {"badword" * n}
+        assert "badword" in restorer.words(" ".join("badword" * n)) and "idiot" in restorer.words(" ".join("music" * n + "idiot" + "paper" * n))
+
+
+UNSEEN_PAGES = [  # makes that the labelled table does not have; main text is upper case
+    "<div class='masthead'>daily paper</div><ul class='breadcrumbs'><li><a href=1>home</a><li><a href=2>sport</a></ul><div itemprop='articleBody'><h2>A TITLE OF SIX WORDS HERE</h2><p>" + "MAIN " * 40 + "<p>SHORT ONE.<p>" + "MAIN " * 60 + "</div><div class='disqus_thread'><p>" + "nice " * 45 + "</p></div><div class='site-bottom'>imprint and more words</div>",
+    "<article><h1>TITLE</h1><p class='header-image-story'>" + "MAIN " * 80 + "</p><p class='post-comment-free'>" + "MAIN " * 80 + "</p><p>THE AREA IS <math><mi>A</mi><mo>=</mo><mn>2</mn></math> METRES</p><svg><text>drawn</text></svg></article><section id='replies'><p>" + "well said " * 20 + "</p></section>",
+    "<table><tr><td><a href=1>one</a><br><a href=2>two</a><br><a href=3>three</a></td><td><p>" + "MAIN " * 70 + "</p><p>YES.</p><p>" + "MAIN " * 50 + "</p></td></tr></table><p><a href=4>about us</a> | <a href=5>terms</a> | <a href=6>contact</a></p>",
+    "<div id='wrapper'><div class='promo-box'>" + "buy this now " * 8 + "</div><div id='story'><div class='social-history-review'><p>" + "MAIN " * 55 + "</p></div><p>" + "MAIN " * 30 + "<a href=x>LINKED WORDS</a>" + " MAIN" * 9 + "</p></div><div class='gdpr'>" + "we use them " * 12 + "</div></div>",
+    "<div class='entry-hentry'><h1>TITLE WORDS</h1><div class='byline'>BY SOMEBODY</div>" + "".join(f"<p>{'MAIN ' * n}</p>" for n in (31, 4, 77, 1, 52)) + "<ul><li>FIRST POINT<li>SECOND POINT IS LONGER</ul></div><div class='related-posts'><h3>more</h3><ul><li><a href=1>some other story</a><li><a href=2>and one more</a></ul></div><div class='cookie_banner'><p>" + "accept all " * 9 + "</p></div>",
+    "<nav>go</nav><main><h1>TITLE</h1><p>" + "MAIN " * 20 + "</p><div class='advert-slot-2'><p>" + "cheap cars " * 15 + "</p></div><p>" + "MAIN " * 28 + "</p></main><div class='comment'><p>" + "i disagree " * 40 + "</p></div>",
+    "<body><p title=\"never closed>" + "MAIN " * 60 + "<p>" + "MAIN " * 33 + "</body>",
+]
+
+
+def test_unseen_markup():
+    """Words kept and dropped on pages of other makes; the tree and the rule of names alone differ where they should."""
+    tree = H.trained()
+    right = kept = wanted = 0
+    for page in UNSEEN_PAGES:
+        found = H.blocks(page)
+        want = [w for b in found if b.text.upper() == b.text for w in b.text.split()]
+        got = H.main_text(page, tree).split()
+        right += sum(w.isupper() or not w.isalpha() for w in got)
+        kept, wanted = kept + len(got), wanted + len(want)
+    assert right / kept > 0.99 and right / wanted > 0.99
+    x, y = H.labelled()
+    by_name = x[:, H.FEATURES.index("named")] < 0.75
+    assert (H.labels(tree, x) == y).mean() > 0.99 > 0.9 > (by_name == y).mean()
+
+
+def test_broken_markup_takes_time_by_its_length():
+    import time
+
+    tree = H.trained()
+    for part in ('<a "', '<a b="', "<a b='", '<a b=">" ', "<!", "<script", "<div></x>", "<!--", "< ", "</", "<svg", "&"):
+        began = time.perf_counter()
+        assert isinstance(H.main_text(part * 50_000, tree), str)
+        assert time.perf_counter() - began < 5, part
