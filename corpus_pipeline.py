@@ -7,12 +7,10 @@ shuffle the text once.
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm._common import shared_dir
+from tessella.llm._common import step_path
 from tessella.llm.decontaminate import clean
 from tessella.llm.exact_dedup import drop_copies
 from tessella.llm.packing import pack, word_encoder
@@ -42,13 +40,13 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("packing", packing)]
 
-#: SQL can't express the first stage; tests/llm holds run() against a brute-force version.
+#: SQL can't express the first stage; tests/llm holds the stages and run() against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    at = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    at = step_path(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}-{name}")
         docs = spark.read.parquet(f"{at}/{k}-{name}")
