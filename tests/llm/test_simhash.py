@@ -134,3 +134,22 @@ def test_drop_similar_at_the_exact_similarity(spark):
                 label = [a if x == b else x for x in label]
     out = {r["doc_id"] for r in S.drop_similar(frame(spark, texts), hot_group=16).collect()}
     assert out == set(label) and len(out) < len(texts)
+
+
+@pytest.mark.parametrize("block", [40, 100_000])
+def test_components_against_brute_force(spark, block):
+    """Paths, stars and a hub, of numbers and of bytes; within one block and by rounds."""
+    from tessella.llm.graph import components
+
+    r = np.random.default_rng(8)
+    edges = [(i, i + 1) for i in range(60)] + [(500, 600 + i) for i in range(150)] + [(int(a), int(b)) for a, b in r.integers(1000, 1100, (70, 2))] + [(-5, 3), (700, 700)]
+    label: dict[int, int] = {x: x for e in edges for x in e}
+    for a, b in edges:
+        low, high = sorted((label[a], label[b]))
+        label = {k: low if x == high else x for k, x in label.items()}
+    want = {x: y for x, y in label.items() if any(x in e and e[0] != e[1] for e in edges)}
+    df = spark.createDataFrame([(b, a) for a, b in edges], "u long, v long")
+    out = components(df, block=block).collect()
+    assert {r["node"]: r["root"] for r in out} == want and len(out) == len(want)
+    named = components(df.select(F.encode(F.lpad(F.col("u").cast("string"), 9, "0"), "utf-8").alias("u"), F.encode(F.lpad(F.col("v").cast("string"), 9, "0"), "utf-8").alias("v")), block=block).collect()
+    assert len({bytes(r["root"]) for r in named}) == len(set(want.values())) and len(named) == len(want)
