@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
@@ -173,3 +174,9 @@ def hamming_weight(distance: Column, most: int = 24, sigma2: float = 256.0) -> C
 METRICS: dict[str, Metric] = {
     "ip": ip_dist, "l2sq": l2sq, "l2": l2, "l1": l1, "linf": linf, "hist_intersect": hist_intersect, "hellinger": hellinger, "chi2": chi2, "kl": kl, "js": jensen_shannon, "cosine": cosine,
 }
+
+
+def kernel_map(x: Column, period: float = 0.65) -> Column:
+    """Three numbers whose inner product with those of another positive number is near their chi-square kernel 2 x y / (x + y)."""
+    size = F.sqrt(x * (2 * period) / F.cosh(F.lit(math.pi * period)))
+    return F.array(F.sqrt(x * period), size * F.cos(period * F.ln(x)), size * F.sin(period * F.ln(x)))

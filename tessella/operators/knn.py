@@ -24,11 +24,22 @@ def matrix(column: pa.Array) -> np.ndarray:
     return np.array(column.to_pylist(), float).reshape(len(column), -1)
 
 
+#: Metrics of a batch and one query; the same as the Column functions of these names.
+COLUMNWISE = {
+    "l1": lambda x, v: np.abs(x - v).sum(1),
+    "linf": lambda x, v: np.abs(x - v).max(1),
+    "hellinger": lambda x, v: ((np.sqrt(x) - np.sqrt(v)) ** 2).sum(1),
+    "chi2": lambda x, v: np.divide((x - v) ** 2, x + v, out=np.zeros(x.shape), where=x + v > 0).sum(1),
+}
+
+
 def distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     if metric == "ip":
         return 1 - q @ x.T
     if metric == "l2sq":  # by differences: exact zero for equal vectors
         return np.stack([((x - v) ** 2).sum(1) for v in q]) if len(x) else np.empty((len(q), 0))
+    if metric in COLUMNWISE:
+        return np.stack([COLUMNWISE[metric](x, v) for v in q]) if len(x) else np.empty((len(q), 0))
     if metric == "dot":
         return q @ x.T
     raise ValueError(metric)
@@ -90,3 +101,30 @@ def radius(db: DataFrame, queries: DataFrame, r: float, metric: str = "l2sq", mo
     """qid, id, dist of all pairs under r, at most `most` a query if that is not negative."""
     found = searched(db, queries, lambda row: np.flatnonzero(row < r), metric)
     return found if most < 0 else top_k(found, most).drop("rank")
+
+
+def farthest(db: DataFrame, queries: DataFrame, k: int, metric: str = "l2sq") -> DataFrame:
+    """The k rows of largest distance of each query, by falling distance; a task emits its k largest only."""
+
+    def pick(row: np.ndarray) -> np.ndarray:
+        return np.arange(len(row)) if len(row) <= k else np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k] - 1e-9)
+
+    return top_k(searched(db, queries, pick, metric), k, F.round("dist", 9).desc(), "id")
+
+
+def grid_radius(points: DataFrame, queries: DataFrame, r: float, dims: int) -> DataFrame:
+    """qid, id, dist (squared) of points (id, x) nearer than r to queries (qid, x), in few dimensions.
+
+    Cells of a grid are r wide; a query goes to its own cell and all around it, and both sides are dealt by cell.
+    """
+
+    def cell(shifts: list) -> list:
+        return [(F.floor(F.get("x", F.lit(d)) / r) + s).cast("long").alias(f"c{d}") for d, s in enumerate(shifts)]
+
+    own = points.select("id", F.col("x").alias("p"), *cell([0] * dims))
+    around = queries
+    for d in range(dims):
+        around = around.withColumn(f"s{d}", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
+    around = around.select("qid", F.col("x").alias("q"), *cell([F.col(f"s{d}") for d in range(dims)]))
+    dist = F.aggregate(F.zip_with("p", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+    return own.join(around, [f"c{d}" for d in range(dims)]).select("qid", "id", dist.alias("dist")).where(F.col("dist") < r * r)

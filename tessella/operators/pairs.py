@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessella.operators.order import numbered
+from tessella.sources.files import new_folder
+
 PAIR_BASE = 2147483647
 
 
@@ -24,9 +27,26 @@ def ordered(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.select(F.least(a, b).alias("id1"), F.greatest(a, b).alias("id2")).where("id1 <> id2").distinct()
 
 
+def exhaustive(images: DataFrame, key: str, blocks: int = 16) -> DataFrame:
+    """Every unordered pair once. Ids are dealt over blocks by a hash, and each pair of blocks is one key of an equi-join, so no side is sent whole to a task."""
+    ids = images.select(F.col(key).alias("id"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
+    every = F.sequence(F.lit(0), F.lit(blocks - 1))
+    rows = ids.select("id", "block", F.explode(every).alias("other")).select(F.col("id").alias("a"), F.col("block").alias("i"), F.col("other").alias("j"))
+    columns = ids.select("id", "block", F.explode(every).alias("other")).select(F.col("id").alias("b"), F.col("other").alias("i"), F.col("block").alias("j"))
+    return rows.where("i <= j").join(columns.where("i <= j"), ["i", "j"]).where("i < j OR a < b").select(F.least("a", "b").alias("id1"), F.greatest("a", "b").alias("id2"))
+
+
+def undone(asked: DataFrame, matched: DataFrame, verified: DataFrame) -> DataFrame:
+    """Asked pairs that lack matches or their verification: id1, id2, half_done (the matches are there)."""
+    have = matched.select("id1", "id2").distinct().withColumn("m", F.lit(True))
+    done = verified.select("id1", "id2").distinct().withColumn("v", F.lit(True))
+    both = asked.select("id1", "id2").distinct().join(have, ["id1", "id2"], "left").join(done, ["id1", "id2"], "left")
+    return both.where("m IS NULL OR v IS NULL").select("id1", "id2", F.coalesce("m", F.lit(False)).alias("half_done"))
+
+
 def sequential(images: DataFrame, name: str, key: str, overlap: int = 10, quadratic: bool = True) -> DataFrame:
     """Neighbours in the order of names: offsets 1 to overlap - 1, and the powers of two while the plain offset is in range."""
-    placed = images.select(F.col(key).alias("id"), F.row_number().over(W.orderBy(name)).alias("place"))
+    placed = numbered(images.select(F.col(key).alias("id"), F.col(name).alias("name")), "place", "name", "id").select("id", "place")
     last = placed.agg(F.max("place").alias("last"))
     offsets = F.sequence(F.lit(0), F.lit(overlap - 1))
     steps = F.concat(offsets, F.transform(offsets, lambda i: F.pow(F.lit(2), i).cast("int"))) if quadratic else offsets
@@ -47,9 +67,11 @@ def two_steps(pairs: DataFrame) -> DataFrame:
 def transitive(pairs: DataFrame, rounds: int = 3) -> DataFrame:
     """All proposed pairs of `rounds` rounds, each taken as verified; known pairs are left out."""
     known = ordered(pairs, "id1", "id2")
-    grown = known
+    spark, grown = pairs.sparkSession, known
     for _ in range(rounds):
-        grown = grown.unionByName(two_steps(grown))
+        path = new_folder(spark, "pairs")
+        grown.unionByName(two_steps(grown)).write.parquet(path)  # a round is read by the next one, not made again
+        grown = spark.read.parquet(path)
     return grown.join(known, ["id1", "id2"], "left_anti")
 
 

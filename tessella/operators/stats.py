@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessella.operators.order import running
+
 
 def nearest_rank(df: DataFrame, key: str, value: str, p: float) -> DataFrame:
     """key, value at place round(p / 100 (n - 1)) of each group in order; by numbering rows, so no group is gathered."""
@@ -15,17 +17,17 @@ def nearest_rank(df: DataFrame, key: str, value: str, p: float) -> DataFrame:
 
 
 def auc(df: DataFrame, label: str, score: str) -> DataFrame:
-    """One row: the area under the ROC curve by trapezoids over equal scores; null for one class. Counts by score come first, so the window runs over distinct scores."""
+    """One row: the area under the ROC curve by trapezoids over equal scores; null for one class. Counts by score come first, so the running sum is over distinct scores, range by range."""
     c = df.groupBy(F.col(score).alias("s")).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("n"))
-    tp = F.sum("p").over(W.orderBy(F.desc("s")))
-    area = c.withColumn("tp", tp).agg(F.sum((2 * F.col("tp") - F.col("p")) * F.col("n") / 2).alias("a"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    area = running(c, {"tp": "p"}, F.desc("s")).agg(F.sum((2 * F.col("tp") - F.col("p")) * F.col("n") / 2).alias("a"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return area.select(F.try_divide("a", F.col("p") * F.col("n")).alias("auc"))
 
 
 def trimmed(df: DataFrame, axis: str, low: float, high: float) -> DataFrame:
     """One row: lower and upper bound of an axis between two shares of its sorted values, and the mean between them."""
     n = df.agg(F.count(axis).alias("n"))
-    v = df.where(F.col(axis).isNotNull()).groupBy(F.col(axis).alias("v")).agg(F.count(F.lit(1)).alias("k")).withColumn("to", F.sum("k").over(W.orderBy("v"))).crossJoin(F.broadcast(n))  # one row
+    v = df.where(F.col(axis).isNotNull()).groupBy(F.col(axis).alias("v")).agg(F.count(F.lit(1)).alias("k"))
+    v = running(v, {"to": "k"}, F.col("v")).crossJoin(F.broadcast(n))  # one row
     first, last = F.floor(low * (F.col("n") - 1)), F.floor(high * (F.col("n") - 1))
     inside = F.greatest(F.lit(0), F.least(F.col("to") - 1, last) - F.greatest(F.col("to") - F.col("k"), first) + 1)
     kept = v.withColumn("use", inside).where("use > 0")

@@ -22,6 +22,11 @@ def delete(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return df.join(keys.select(key), key, "left_anti")
 
 
+def clear(df: DataFrame) -> DataFrame:
+    """The table without its rows."""
+    return df.limit(0)
+
+
 def duplicates(df: DataFrame, key: str) -> DataFrame:
     """Keys that break uniqueness."""
     return df.groupBy(key).count().where("count > 1")

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("vectors", "search", "statistics", "relational", "texts", "geometry")
+MODULES = ("vectors", "search", "statistics", "relational", "texts", "geometry", "sources", "models", "indexes", "estimates", "streams")
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 

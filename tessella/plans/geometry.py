@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -117,12 +118,17 @@ SPATIAL = f"""WITH {PLACE}, n AS (SELECT id, 6378137.0 / sqrt(1 - (1 / 298.25722
     SELECT DISTINCT least(id, other) AS id1, greatest(id, other) AS id2 FROM t WHERE id <> other AND d2 <= pow(2000000, 2)"""
 
 
+def nearest_with_ties(row, k):
+    """Places of the k least distances of a batch, with all that are the same after rounding to the third digit."""
+    return np.arange(len(row)) if len(row) <= k else np.flatnonzero(row <= np.partition(row, k - 1)[k - 1] + 1e-3)
+
+
 @query("join_pairs_spatial", SPATIAL)
 def join_pairs_spatial(spark, sf_dir):
     """The nearest five by location, itself included, within 2,000 km; queries are the ids divisible by 20; height is left out."""
     xyz = G.ell_to_xyz(C("lat"), C("lon"), F.lit(0.0))
     e = places(spark, sf_dir).where("NOT (lat = 0 AND lon = 0)").select("id", F.array(*xyz).alias("embedding"))
-    near = K.searched(e, e.where("id % 20 = 0").select(C("id").alias("qid"), "embedding"), lambda row: row.argsort(kind="stable")[:12], "l2sq")
+    near = K.searched(e, e.where("id % 20 = 0").select(C("id").alias("qid"), "embedding"), lambda row: nearest_with_ties(row, 5), "l2sq")
     top = K.top_k(near, 5, F.round("dist", 3), "id").where((C("id") != C("qid")) & (C("dist") <= 2000000.0**2))
     return top.select(F.least("id", "qid").alias("id1"), F.greatest("id", "qid").alias("id2")).distinct()
 
@@ -163,11 +169,9 @@ def matched(spark, sf_dir):
     return mutual(spark, sf_dir, ok)
 
 
-for own in ("match_bf", "match_flann"):  # the second as the first, exact
-
-    @query(own, f"WITH {IMAGES}{BEST} SELECT m.i1, m.f1, m.f2, round(m.dot, 6) AS dot FROM m JOIN b ON m.f1 = b.f1 AND m.f2 = b.f2 WHERE {GATE}")
-    def match_bf(spark, sf_dir):
-        return matched(spark, sf_dir).select("i1", "f1", "f2", F.round("dot", 6).alias("dot"))
+@query("match_bf", f"WITH {IMAGES}{BEST} SELECT m.i1, m.f1, m.f2, round(m.dot, 6) AS dot FROM m JOIN b ON m.f1 = b.f1 AND m.f2 = b.f2 WHERE {GATE}")
+def match_bf(spark, sf_dir):
+    return matched(spark, sf_dir).select("i1", "f1", "f2", F.round("dot", 6).alias("dot"))
 
 
 NEARBY = "abs((f1 * 37) % 640 - (f2 * 37) % 640) <= 200"
@@ -198,11 +202,3 @@ def flt_watermark(spark, sf_dir):
 @query("est_translation", f"WITH {K_SQL} SELECT label, round(avg(x2 - x), 5) AS tx, round(avg(y2 - y), 5) AS ty FROM p GROUP BY label")
 def est_translation(spark, sf_dir):
     return pairs(spark, sf_dir).groupBy("label").agg(F.round(F.avg(C("x2") - C("x")), 5).alias("tx"), F.round(F.avg(C("y2") - C("y")), 5).alias("ty"))
-
-
-@query("two_view", "SELECT l_orderkey, l_linenumber, CASE WHEN e < 15 AND f < 15 AND h < 15 THEN 'degenerate' WHEN f > 0 AND e / f > 0.95 THEN CASE WHEN h / e > 0.8 THEN 'planar_or_panoramic' ELSE 'calibrated' END WHEN f > 0 AND h / f > 0.8 THEN 'planar_or_panoramic' ELSE 'uncalibrated' END AS config FROM (SELECT l_orderkey, l_linenumber, l_quantity AS e, l_quantity + l_linenumber % 3 AS f, l_quantity * l_discount * 10 AS h FROM lineitem)")
-def two_view(spark, sf_dir):
-    """The configuration by inlier counts of the three models."""
-    x = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_quantity AS e", "l_quantity + l_linenumber % 3 AS f", "l_quantity * l_discount * 10 AS h")
-    config = F.when((C("e") < 15) & (C("f") < 15) & (C("h") < 15), "degenerate").when(F.try_divide("e", "f") > 0.95, F.when(F.try_divide("h", "e") > 0.8, "planar_or_panoramic").otherwise("calibrated"))
-    return x.select("l_orderkey", "l_linenumber", config.when(F.try_divide("h", "f") > 0.8, "planar_or_panoramic").otherwise("uncalibrated").alias("config"))

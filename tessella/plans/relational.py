@@ -49,7 +49,6 @@ shared(
 
 shared("join_lookup", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey", lambda o, c: o.join(c, o["o_custkey"] == c["c_custkey"]).select("o_orderkey", "c_name"), "orders", "customer")
 shared("join_semi_connected", "SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 15)", lambda p, x: p.join(x.where("l_quantity >= 15").select("l_partkey"), p["p_partkey"] == F.col("l_partkey"), "left_semi").select("p_partkey"), "part", "lineitem")
-shared("join_anti_done", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)", lambda c, o: c.join(o, c["c_custkey"] == o["o_custkey"], "left_anti").select("c_custkey"), "customer", "orders")
 shared("join_common_ids", "SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier)", lambda c, s: c.select(F.col("c_nationkey").alias("k")).intersect(s.select("s_nationkey")), "customer", "supplier")
 shared("join_name_transcribe", "SELECT a.c_custkey AS model_id, b.c_custkey + 1000 AS db_id FROM customer a JOIN customer b USING (c_name)", lambda c: c.select(F.col("c_custkey").alias("model_id"), "c_name").join(c.select((F.col("c_custkey") + 1000).alias("db_id"), "c_name"), "c_name").select("model_id", "db_id"), "customer")
 shared(
@@ -58,23 +57,31 @@ shared(
 )
 
 
+def grams(column):
+    """The distinct runs of three characters of a string; the string itself if it is shorter."""
+    c = F.col(column)
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3))))
+
+
 @query("join_fuzzy_substr", """WITH m AS (SELECT p_partkey, lower(p_brand) AS b, lower(p_type) AS t FROM part), s AS (SELECT DISTINCT lower(p_brand) AS sb, lower(split_part(p_type, ' ', 1)) AS st FROM part),
     h AS (SELECT p_partkey, sb, st FROM m JOIN s ON (contains(b, sb) OR contains(sb, b)) AND (contains(t, st) OR contains(st, t))) SELECT p_partkey, min(st) AS st FROM h GROUP BY p_partkey HAVING count(*) = 1""")
 def join_fuzzy_substr(spark, sf_dir):
     """Distinct (make, model) on both sides first, so the substring join has few rows; only a unique hit counts."""
     p = table(spark, sf_dir, "part").select("p_partkey", F.lower("p_brand").alias("b"), F.lower("p_type").alias("t"))
     kinds, specs = p.select("b", "t").distinct(), p.select(F.col("b").alias("sb"), F.split_part("t", F.lit(" "), F.lit(1)).alias("st")).distinct()
-    hits = kinds.join(specs, (F.contains("b", "sb") | F.contains("sb", "b")) & (F.contains("t", "st") | F.contains("st", "t")))
+    # A string that contains another has the other's first three characters somewhere: an equi-join finds all candidates, either way.
+    held, first = kinds.select("b", "t", F.explode(grams("b")).alias("g")), specs.select("sb", "st", F.substring("sb", 1, 3).alias("g"))
+    begun, all_of = kinds.select("b", "t", F.substring("b", 1, 3).alias("g")), specs.select("sb", "st", F.explode(grams("sb")).alias("g"))
+    met = held.join(first, "g").unionByName(begun.join(all_of, "g")).drop("g").distinct()
+    hits = met.where((F.contains("b", "sb") | F.contains("sb", "b")) & (F.contains("t", "st") | F.contains("st", "t")))
     unique = hits.groupBy("b", "t").agg(F.count(F.lit(1)).alias("n"), F.min("st").alias("st")).where("n = 1")
     return p.join(unique, ["b", "t"]).select("p_partkey", "st")
 
 
-@query("join_pairs_all", "SELECT a.c_custkey AS id1, b.c_custkey AS id2 FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.c_custkey < b.c_custkey")
+@query("join_pairs_all", "SELECT a.s_suppkey AS id1, b.s_suppkey AS id2 FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey")
 def join_pairs_all(spark, sf_dir):
-    """Every unordered pair of a block once: the pairs are what is asked for."""
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    d = c.withColumnRenamed("c_custkey", "id2")
-    return c.join(d, ["c_nationkey", "c_mktsegment"]).where("c_custkey < id2").select(F.col("c_custkey").alias("id1"), "id2")
+    """Every unordered pair once: the pairs are what is asked for."""
+    return P.exhaustive(table(spark, sf_dir, "supplier").select("s_suppkey"), "s_suppkey")
 
 
 @query("join_pairs_seq", """WITH p AS (SELECT c_custkey AS id, row_number() OVER (ORDER BY c_name) AS n, count(*) OVER () AS last FROM customer), o AS (SELECT i FROM range(0, 10) t(i)),
@@ -83,17 +90,31 @@ def join_pairs_seq(spark, sf_dir):
     return P.sequential(table(spark, sf_dir, "customer"), "c_name", "c_custkey")
 
 
-EDGES = "e AS (SELECT DISTINCT least(l_orderkey % 300, l_suppkey + 300) AS id1, greatest(l_orderkey % 300, l_suppkey + 300) AS id2 FROM lineitem WHERE l_quantity >= 49)"
+EDGES = "e AS MATERIALIZED (SELECT p_partkey AS id1, p_partkey + 1 + p_size % 3 AS id2 FROM part WHERE p_partkey + 1 + p_size % 3 <= (SELECT max(p_partkey) FROM part))"
+#: New pairs of neighbours of neighbours, three times.
+CLOSURE = EDGES + "".join(
+    f", b{k} AS (SELECT id1, id2 FROM {e} UNION ALL SELECT id2, id1 FROM {e}), e{k + 1} AS MATERIALIZED (SELECT id1, id2 FROM {e} UNION SELECT x.id1, y.id2 FROM b{k} x JOIN b{k} y ON x.id2 = y.id1 WHERE x.id1 < y.id2)"
+    for k, e in enumerate(("e", "e1", "e2"))
+)
 
 
 def edges(spark, sf_dir):
-    return P.ordered(table(spark, sf_dir, "lineitem").where("l_quantity >= 49").select((F.col("l_orderkey") % 300).alias("a"), (F.col("l_suppkey") + 300).alias("b")), "a", "b")
+    """A pair for each part, with one of the next three."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("a"), (F.col("p_partkey") + 1 + F.col("p_size") % 3).alias("b"))
+    return P.ordered(p.join(p.select(F.col("a").alias("b")), "b", "left_semi"), "a", "b")
+
+
+@query("join_anti_done", f"WITH {EDGES} SELECT id1, id2, id1 % 3 <> 0 AS half_done FROM e WHERE id1 % 3 = 0 OR id1 % 2 = 0")
+def join_anti_done(spark, sf_dir):
+    """Pairs that are not done: without matches, or with matches (two of three here) but not verified (every second one is)."""
+    e = edges(spark, sf_dir)
+    return P.undone(e, e.where("id1 % 3 <> 0"), e.where("id1 % 2 <> 0"))
 
 
-@query("join_pairs_transitive", f"WITH {EDGES}, b AS (SELECT id1, id2 FROM e UNION ALL SELECT id2, id1 FROM e) SELECT DISTINCT x.id1, y.id2 FROM b x JOIN b y ON x.id2 = y.id1 WHERE x.id1 < y.id2 AND NOT EXISTS (SELECT 1 FROM e WHERE e.id1 = x.id1 AND e.id2 = y.id2)")
+@query("join_pairs_transitive", f"WITH {CLOSURE} SELECT id1, id2 FROM e3 EXCEPT SELECT id1, id2 FROM e")
 def join_pairs_transitive(spark, sf_dir):
-    """One round of the closure."""
-    return P.transitive(edges(spark, sf_dir), 1)
+    """Three rounds, each on what the one before has added."""
+    return P.transitive(edges(spark, sf_dir), 3)
 
 
 @query("pair_id", "SELECT l_orderkey, l_linenumber, least(l_partkey, l_suppkey) * 2147483647 + greatest(l_partkey, l_suppkey) AS pair_id, l_partkey > l_suppkey AS swapped FROM lineitem")
@@ -115,16 +136,18 @@ shared("set_distinct_pairs", "SELECT DISTINCT least(l_partkey % 50, l_suppkey %
 shared("set_unique_sorted", "SELECT l_orderkey, list_sort(list_distinct(list(l_suppkey))) AS s FROM lineitem GROUP BY l_orderkey", lambda x: x.groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_suppkey")).alias("s")), "lineitem")
 shared("set_has_dups", "SELECT l_orderkey, count(DISTINCT l_suppkey) < count(*) AS dups, bool_or(l_suppkey = 3) AS has3 FROM lineitem GROUP BY l_orderkey", lambda x: x.groupBy("l_orderkey").agg((F.countDistinct("l_suppkey") < F.count(F.lit(1))).alias("dups"), F.bool_or(F.col("l_suppkey") == 3).alias("has3")), "lineitem")
 shared("topk_boxes", "SELECT l_suppkey, l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY l_quantity * l_linenumber DESC, l_orderkey, l_linenumber) = 1", lambda x: x.groupBy("l_suppkey").agg(F.min(F.struct((-F.col("l_quantity") * F.col("l_linenumber")).alias("a"), "l_orderkey", "l_linenumber")).alias("m")).select("l_suppkey", "m.l_orderkey", "m.l_linenumber"), "lineitem")
-shared("limit_max", "SELECT least(count(*), 100) AS n FROM orders", lambda o: o.limit(100).agg(F.count(F.lit(1)).alias("n")), "orders")
+shared("limit_max", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100", lambda o: o.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(100).select("o_orderkey"), "orders")
 
-MATCHES = "m AS (SELECT DISTINCT l_suppkey % 20 AS id1, l_partkey % 25 AS id2, l_orderkey % 12 AS pt1, l_linenumber::BIGINT AS pt2 FROM lineitem WHERE l_suppkey % 20 < l_partkey % 25), r AS (SELECT * FROM m WHERE pt1 < 10 AND pt2 < 7)"
+MATCHES = "m AS (SELECT DISTINCT l_suppkey AS id1, l_partkey + 10000000 AS id2, l_orderkey AS pt1, (l_orderkey % 1000) * 8 + l_linenumber AS pt2 FROM lineitem), r AS (SELECT * FROM m WHERE pt1 < (SELECT max(o_orderkey) * 4 // 5 FROM orders) AND pt2 < 7000)"
 KEPT = f"{MATCHES}, a AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY id1, id2, pt1 ORDER BY pt2) = 1), k AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY id1, id2, pt2 ORDER BY pt1) = 1), g AS (SELECT id1 AS img, pt1 AS pt, id2 AS img2, pt2 FROM k UNION ALL SELECT id2, pt2, id1, pt1 FROM k)"
 
 
 def graph(spark, sf_dir):
-    """A correspondence graph: images of ten points on the first side, seven on the second."""
-    m = table(spark, sf_dir, "lineitem").selectExpr("l_suppkey % 20 AS id1", "l_partkey % 25 AS id2", "l_orderkey % 12 AS pt1", "cast(l_linenumber AS bigint) AS pt2").where("id1 < id2 AND pt1 < 10 AND pt2 < 7")
-    return P.correspondences(m, spark.range(25).select("id", F.lit(10).alias("n")))
+    """A correspondence graph of suppliers and parts as images, a match for each line: suppliers have a point for four of five orders, parts 7,000, and matches of other points are left out."""
+    m = table(spark, sf_dir, "lineitem").selectExpr("l_suppkey AS id1", "l_partkey + 10000000 AS id2", "l_orderkey AS pt1", "(l_orderkey % 1000) * 8 + l_linenumber AS pt2")
+    n = table(spark, sf_dir, "orders").agg(F.expr("max(o_orderkey) * 4 div 5").alias("n"))  # one row
+    points = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS id").crossJoin(F.broadcast(n)).unionByName(table(spark, sf_dir, "part").selectExpr("p_partkey + 10000000 AS id", "7000L AS n"))
+    return P.correspondences(m, points)
 
 
 @query("cg_add", f"WITH {KEPT} SELECT * FROM g")
@@ -142,12 +165,12 @@ def cg_two_view(spark, sf_dir):
     return P.two_view(graph(spark, sf_dir))
 
 
-@query("cg_transitive", f"WITH {EDGES}, b AS (SELECT id1 AS src, id2 AS dst FROM e UNION ALL SELECT id2, id1 FROM e), s AS (SELECT DISTINCT src AS start FROM b WHERE src % 20 = 0), d1 AS (SELECT start, dst AS node FROM s JOIN b ON src = start), d2 AS (SELECT start, dst AS node FROM d1 JOIN b ON src = node) SELECT DISTINCT start, node FROM (SELECT * FROM d1 UNION ALL SELECT * FROM d2) WHERE start <> node")
+@query("cg_transitive", f"WITH {EDGES}, b AS (SELECT id1 AS src, id2 AS dst FROM e UNION ALL SELECT id2, id1 FROM e), s AS (SELECT DISTINCT src AS start FROM b WHERE src % 20 = 0), d1 AS (SELECT start, dst AS node FROM s JOIN b ON src = start), d2 AS (SELECT DISTINCT start, dst AS node FROM d1 JOIN b ON src = node), d3 AS (SELECT start, dst AS node FROM d2 JOIN b ON src = node) SELECT DISTINCT start, node FROM (SELECT * FROM d1 UNION ALL SELECT * FROM d2 UNION ALL SELECT * FROM d3) WHERE start <> node")
 def cg_transitive(spark, sf_dir):
-    """Within two steps of the starts, the ids divisible by 20."""
+    """Within three steps of the starts, the ids divisible by 20."""
     e = edges(spark, sf_dir)
     both = e.select(F.col("id1").alias("src"), F.col("id2").alias("dst")).unionByName(e.select(F.col("id2").alias("src"), F.col("id1").alias("dst")))
-    return P.reach(both, both.select(F.col("src").alias("start")).where("start % 20 = 0").distinct(), 2)
+    return P.reach(both, both.select(F.col("src").alias("start")).where("start % 20 = 0").distinct(), 3)
 
 
 @query("cg_load", "WITH p AS (SELECT l_suppkey AS id1, l_partkey + 100000 AS id2, count(*) AS n FROM lineitem WHERE l_returnflag <> 'A' GROUP BY ALL HAVING count(*) >= 2), u AS (SELECT id1 AS i FROM p UNION SELECT id2 FROM p) SELECT s_suppkey AS id FROM supplier WHERE s_suppkey IN (SELECT i FROM u)")
@@ -161,7 +184,7 @@ def cg_load(spark, sf_dir):
 shared("dml_insert", "SELECT n_nationkey AS k, n_name AS name, NULL::VARCHAR AS note FROM nation UNION ALL SELECT 100 + r_regionkey, r_name, 'new' FROM region", lambda n, r: R.insert(n.selectExpr("n_nationkey AS k", "n_name AS name"), r.selectExpr("100 + r_regionkey AS k", "r_name AS name", "'new' AS note")), "nation", "region")
 shared("dml_update", "SELECT n_nationkey AS k, CASE WHEN n_nationkey IN (SELECT r_regionkey FROM region) THEN (SELECT r_name FROM region WHERE r_regionkey = n_nationkey) ELSE n_name END AS name FROM nation", lambda n, r: R.update(n.selectExpr("n_nationkey AS k", "n_name AS name"), r.selectExpr("r_regionkey AS k", "r_name AS name"), "k"), "nation", "region")
 shared("dml_delete", "SELECT n_nationkey AS k FROM nation WHERE n_nationkey NOT IN (SELECT r_regionkey FROM region)", lambda n, r: R.delete(n.selectExpr("n_nationkey AS k"), r.selectExpr("r_regionkey AS k"), "k"), "nation", "region")
-shared("dml_clear", "SELECT n_nationkey FROM nation WHERE false", lambda n: n.select("n_nationkey").where(F.lit(False)), "nation")
+shared("dml_clear", "SELECT r_regionkey AS k, 'again' AS note FROM region", lambda n, r: R.insert(R.clear(n.selectExpr("n_nationkey AS k")), r.selectExpr("r_regionkey AS k", "'again' AS note")), "nation", "region")
 shared("idx_points", "SELECT vec_id AS id FROM embeddings WHERE vec_id % 7 <> 0 UNION ALL SELECT vec_id + 1000000 FROM embeddings", lambda e: R.delete(R.insert(e.selectExpr("vec_id AS id"), e.selectExpr("vec_id + 1000000 AS id")), e.where("vec_id % 7 = 0").selectExpr("vec_id AS id"), "id"), "embeddings")
 shared("join_merge_remap", "SELECT c_custkey AS image_id, c_name AS name, c_nationkey::BIGINT AS camera_id FROM customer UNION ALL SELECT s_suppkey + (SELECT max(c_custkey) + 1 FROM customer), s_name, s_nationkey + (SELECT max(c_nationkey) + 1 FROM customer) FROM supplier", lambda c, s: R.merge(c.selectExpr("c_custkey AS image_id", "c_name AS name", "cast(c_nationkey AS bigint) AS camera_id"), s.selectExpr("s_suppkey AS image_id", "s_name AS name", "cast(s_nationkey AS bigint) AS camera_id")), "customer", "supplier")
-shared("store_orphans", "SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)", lambda o, c: R.orphans(o, "o_custkey", c, "c_custkey").select("o_orderkey"), "orders", "customer")
+shared("store_orphans", "SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)", lambda o, c: R.orphans(o, "o_custkey", c.where("c_acctbal > 0"), "c_custkey").select("o_orderkey"), "orders", "customer")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessella.functions import vectors as V
 from tessella.operators import knn as K
 from tessella.operators import quant as Z
+from tessella.operators.order import numbered
 from tessella.plans import query, table
 
 DB = "db AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x, label FROM embeddings), qs AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS y, label AS qlabel FROM embeddings WHERE vec_id % 20 = 0)"
@@ -33,10 +34,7 @@ def nearest(name, k, metric, sql):
         return K.knn(db(spark, sf_dir), qs(spark, sf_dir), k, metric).select("qid", "id", (F.round("dist", 6) + 0.0).alias("dist"), "rank")
 
 
-for own, k in (("join_knn", 10), ("topk_heap", 5), ("idx_flat", 8), ("agg_merge_topk", 20), ("idx_mpi", 3)):
-    nearest(own, k, "ip", f"WITH {IP} SELECT qid, id, round(dist, 6) + 0.0 AS dist, rank::INT AS rank FROM ({TOP.format('ip', k)})")
-for own, k in (("idx_linear", 10), ("idx_kdtree_single", 4)):
-    nearest(own, k, "l2sq", f"WITH {L2} SELECT qid, id, round(dist, 6) + 0.0 AS dist, rank::INT AS rank FROM ({TOP.format('l2', k)})")
+nearest("join_knn", 10, "ip", f"WITH {IP} SELECT qid, id, round(dist, 6) + 0.0 AS dist, rank::INT AS rank FROM ({TOP.format('ip', 10)})")
 
 
 @query("build_gt", f"WITH {IP}, t AS ({TOP.format('ip', 10)}) SELECT qid, list(id ORDER BY rank) AS ids, list(round(1 - dist, 6) ORDER BY rank) AS sims FROM t GROUP BY qid")
@@ -108,7 +106,7 @@ def agg_vote_count(spark, sf_dir):
 
 @query("sort_rank_set", f"SELECT image, votes, row_number() OVER (ORDER BY votes DESC, image)::INT AS place FROM ({VOTE_SQL})")
 def sort_rank_set(spark, sf_dir):
-    return sift_vote_search(spark, sf_dir).withColumn("place", F.row_number().over(W.orderBy(F.desc("votes"), "image")))
+    return numbered(sift_vote_search(spark, sf_dir), "place", F.desc("votes"), "image").select("image", "votes", F.col("place").cast("int").alias("place"))
 
 
 CENTRES = f"c AS (SELECT vec_id AS list_id, embedding::DOUBLE[] AS centre FROM embeddings WHERE vec_id < {LISTS})"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import vectors as V
 from tessella.operators import bow as B
+from tessella.operators.order import numbered, running
 from tessella.operators import stats as S
 from tessella.plans import query, table
 
@@ -70,8 +71,7 @@ def prj_conf_flip(spark, sf_dir):
 def win_cum_tp_fp(spark, sf_dir):
     """Counts by score first; the running sum is over distinct scores."""
     c = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id").groupBy("n_chars").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("n"))
-    by = W.orderBy(F.desc("n_chars"))
-    return c.select("n_chars", F.sum("p").over(by).alias("tp"), F.sum("n").over(by).alias("fp"))
+    return running(c, {"tp": "p", "fp": "n"}, F.desc("n_chars")).select("n_chars", "tp", "fp")
 
 
 @query("agg_hist", """WITH h AS (SELECT label, greatest(0, least(255, floor((e + 1) * 128)))::INT AS bin FROM (SELECT label, unnest(embedding)::DOUBLE AS e FROM embeddings)), c AS (SELECT label, bin, count(*) AS n FROM h GROUP BY ALL),
@@ -132,13 +132,13 @@ def agg_corr_counts(spark, sf_dir):
 
 @query("win_rank_name", "SELECT c_name, row_number() OVER (ORDER BY c_name)::INT AS place FROM customer")
 def win_rank_name(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_name", F.row_number().over(W.orderBy("c_name")).alias("place"))
+    return numbered(table(spark, sf_dir, "customer").select("c_name"), "place", "c_name").select("c_name", F.col("place").cast("int").alias("place"))
 
 
 @query("win_prev_offset", "SELECT image, n, coalesce(sum(n) OVER (ORDER BY image ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first FROM (SELECT l_suppkey AS image, count(*) AS n FROM lineitem GROUP BY image)")
 def win_prev_offset(spark, sf_dir):
     c = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("image")).agg(F.count(F.lit(1)).alias("n"))
-    return c.withColumn("first", F.coalesce(F.sum("n").over(W.orderBy("image").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    return running(c, {"up_to": "n"}, "image").select("image", "n", (F.col("up_to") - F.col("n")).alias("first"))
 
 
 @query("win_every_nth", "SELECT c_name FROM (SELECT c_name, row_number() OVER (ORDER BY c_name) AS rn FROM customer) WHERE (rn - 1) % 10 = 0")

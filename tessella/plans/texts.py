@@ -18,10 +18,11 @@ def over(name, tab, key, sql, columns):
 
 RANGES = r"[^a-zA-Z0-9\x{2e80}-\x{2fd5}\x{3190}-\x{319f}\x{3400}-\x{4dbf}\x{4e00}-\x{9fcc}\x{f900}-\x{faad}]"
 over("str_split_sentence", "documents", "doc_id", "list_filter(string_split_regex(text, '[,，.。!！?？]'), lambda x: x <> '') AS parts", lambda: {"parts": X.split_sentence(F.col("text"))})
-over(
-    "str_seg_sentence", "documents", "doc_id", r"CASE WHEN p[-1] = '' THEN p[1:len(p) - 1] ELSE p END AS parts FROM (SELECT doc_id, string_split_regex(text, '，|？|。|：| |,|!|！|\.\.\.|……|\?|@') AS p FROM documents) t --",
-    lambda: {"parts": X.segment(F.col("text"))},
-)
+@query("str_seg_sentence", r"SELECT doc_id, CASE WHEN p[-1] = '' THEN p[1:len(p) - 1] ELSE p END AS parts FROM (SELECT doc_id, string_split_regex(text, '，|？|。|：| |,|!|！|\.\.\.|……|\?|@') AS p FROM documents)")
+def str_seg_sentence(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.segment(F.col("text")).alias("parts"))
+
+
 over("str_filter_special", "documents", "doc_id", f"regexp_replace(text, '{RANGES}', '', 'g') AS t", lambda: {"t": X.filter_special(F.col("text"))})
 over("str_split_char", "documents", "doc_id", r"CASE WHEN text LIKE '%' || chr(10) THEN string_split(text, chr(10))[1:len(string_split(text, chr(10))) - 1] ELSE string_split(text, chr(10)) END AS parts", lambda: {"parts": X.split_by(F.col("text"), "\n")})
 over("str_split_any", "documents", "doc_id", r"string_split_regex(text, '[ ,.]+') AS parts", lambda: {"parts": X.split_any(F.col("text"), " ,.")})

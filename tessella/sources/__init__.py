@@ -1 +1 @@
-"""Readers and writers of the legacy formats."""
+"""Readers and writers: vectors, lists, models, stores and index folders."""

@@ -1 +1 @@
-"""Structured Streaming operators."""
+"""Structured Streaming: index insertion, frame sequences, windows."""
