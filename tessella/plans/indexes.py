@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from tessella.operators import indexes as I
 from tessella.operators import knn as K
 from tessella.plans import query, table
-from tessella.plans.models import LISTS, ROUNDS, SEGMENTS, SUBS
+from tessella.plans.models import LISTS
+from tessella.plans.search import index as stored_index
 from tessella.sources.files import new_folder
 
 DB = "db AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x FROM embeddings), qs AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS y FROM embeddings WHERE vec_id % 20 = 0)"
@@ -192,24 +193,17 @@ def idx_hnsw(spark, sf_dir):
     return shown(I.Navigable.build(db(spark, sf_dir), 16, 60).search(qs(spark, sf_dir), 10, 60))
 
 
-def inverted(spark, sf_dir):
-    """The trained index, stored in partitions by list and loaded."""
-    at = new_folder(spark, "inverted")
-    I.InvertedLists.build(db(spark, sf_dir), LISTS, SEGMENTS, SUBS, ROUNDS).save(at)
-    return I.InvertedLists.load(spark, at)
-
-
 @query("idx_autotune")
 def idx_autotune(spark, sf_dir):
     """The number of probed lists is the least whose recall on a sample of 100 vectors is 0.9; all probed rows are ranked exactly."""
-    e, index = db(spark, sf_dir), inverted(spark, sf_dir)
+    e, index = db(spark, sf_dir), stored_index(spark, sf_dir)
     return by_effort(index, e, qs(spark, sf_dir), [2, 4, 6, 7, 8], "probes")
 
 
 @query("idx_ivfpq_all", f"WITH {L2} {TOP.format('l2', 10)}")
 def idx_ivfpq_all(spark, sf_dir):
     """The trained index with every list probed is exact search."""
-    return shown(inverted(spark, sf_dir).search(qs(spark, sf_dir), 10, probes=LISTS))
+    return shown(stored_index(spark, sf_dir).search(qs(spark, sf_dir), 10, probes=LISTS))
 
 
 @query("eval_recall_time")
@@ -218,7 +212,7 @@ def eval_recall_time(spark, sf_dir):
     import time
 
     q = qs(spark, sf_dir)
-    index, truth, n = inverted(spark, sf_dir), K.knn(db(spark, sf_dir), q, 10, "l2sq"), q.count()
+    index, truth, n = stored_index(spark, sf_dir), K.knn(db(spark, sf_dir), q, 10, "l2sq"), q.count()
     out = []
     for probes in (1, 2, 4, 8):
         began = time.perf_counter()
