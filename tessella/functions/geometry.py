@@ -97,3 +97,19 @@ def rotated(q: Sequence, v: Sequence) -> tuple:
     """A vector turned by a unit quaternion."""
     w, x, y, z = quaternion_product(quaternion_product(q, (0.0, *v)), (q[0], -q[1], -q[2], -q[3]))
     return x, y, z
+
+
+def xyz_to_ell(x: Column, y: Column, z: Column, ellipsoid: str = "WGS84", steps: int = 6) -> tuple[Column, Column, Column]:
+    """(latitude, longitude, altitude) of a place, by fixed-point steps on the latitude; six are far under a millimetre near the surface."""
+    a, f = ELLIPSOIDS[ellipsoid]
+    e2 = f * (2.0 - f)
+    r = F.sqrt(x * x + y * y)
+
+    def step(p: Column, _: Column) -> Column:
+        return F.atan2(z + e2 * (a / F.sqrt(1 - e2 * F.sin(p) * F.sin(p))) * F.sin(p), r)
+
+    # As a fold, so that the expression does not grow with the steps.
+    p = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.atan2(z, r * (1 - e2)), step)
+    n = a / F.sqrt(1 - e2 * F.sin(p) * F.sin(p))
+    alt = F.when(F.abs(F.cos(p)) > 0.1, r / F.cos(p) - n).otherwise(z / F.sin(p) - n * (1 - e2))
+    return F.degrees(p), F.degrees(F.atan2(y, x)), alt

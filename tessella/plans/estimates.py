@@ -410,3 +410,17 @@ def geo_undistort(spark, sf_dir):
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.select("id", "model", (F.round("u", 5) + 0.0).alias("u"), (F.round("v", 5) + 0.0).alias("v"))
+
+
+@query("flt_watermark", f"SELECT g, g % 3 = 0 AS mark FROM ({GROUPED})")
+def flt_watermark(spark, sf_dir):
+    """Points in the border that move together are a mark (a third of the groups); those that move each for itself, or together in the middle, are none."""
+
+    def f(g, r):
+        i, x = r["id"].to_numpy(), xy(r)
+        x[:, 0] = 5 + i * 37 % 50 if g % 3 < 2 else 200 + i * 37 % 200
+        x[:, 1] = 200 + i * 53 % 100
+        y = x + [3.0, 2.0] if g % 3 != 1 else x + np.column_stack([i * 29 % 41, i * 71 % 43])
+        return [(g, E.watermark(x, y, 640, 480))]
+
+    return solved(points(spark, sf_dir), "g long, mark boolean", f)

@@ -111,6 +111,15 @@ def geo_gps(spark, sf_dir):
     return places(spark, sf_dir).select("id", *((F.round(c, 2) + 0.0).alias(n) for n, c in (("x", x), ("y", y), ("z", z))))
 
 
+@query("geo_gps_inverse", f"WITH {PLACE} SELECT id, round(lat, 6) + 0.0 AS lat, round(lon, 6) + 0.0 AS lon, round(alt, 3) + 0.0 AS alt FROM place")
+def geo_gps_inverse(spark, sf_dir):
+    """To the earth's axes and back."""
+    xyz = places(spark, sf_dir).select("id", *(c.alias(n) for c, n in zip(G.ell_to_xyz(C("lat"), C("lon"), C("alt")), "xyz", strict=True)))
+    lat, lon, alt = G.xyz_to_ell(C("x"), C("y"), C("z"))
+    lon = F.when(lon >= 179.9999999, lon - 360).otherwise(lon)
+    return xyz.select("id", (F.round(lat, 6) + 0.0).alias("lat"), (F.round(lon, 6) + 0.0).alias("lon"), (F.round(alt, 3) + 0.0).alias("alt"))
+
+
 SPATIAL = f"""WITH {PLACE}, n AS (SELECT id, 6378137.0 / sqrt(1 - (1 / 298.257223563) * (2 - 1 / 298.257223563) * pow(sin(radians(lat)), 2)) AS n, lat, lon FROM place WHERE NOT (lat = 0 AND lon = 0)),
     e AS (SELECT id, n * cos(radians(lat)) * cos(radians(lon)) AS x, n * cos(radians(lat)) * sin(radians(lon)) AS y, n * (1 - (1 / 298.257223563) * (2 - 1 / 298.257223563)) * sin(radians(lat)) AS z FROM n),
     d AS (SELECT a.id, b.id AS other, pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2) AS d2 FROM e a, e b WHERE a.id % 20 = 0),
@@ -192,13 +201,6 @@ def octave_filter(spark, sf_dir):
     return o.join(usual, "i1").where("abs(oct - usual) <= 1").select("f1", "f2")
 
 
-@query("flt_watermark", f"WITH {K_SQL} SELECT label, count(*) FILTER (x < 80 OR x > 560 OR y < 80 OR y > 400) >= 0.7 * count(*) AS border FROM k GROUP BY label")
-def flt_watermark(spark, sf_dir):
-    """Groups with at least 70 percent of their points in the border, a tenth of the diagonal."""
-    inside = C("x").between(80, 560) & C("y").between(80, 400)
-    return keypoints(spark, sf_dir).groupBy("label").agg((F.count_if(~inside) >= 0.7 * F.count(F.lit(1))).alias("border"))
-
-
 @query("est_translation", f"WITH {K_SQL} SELECT label, round(avg(x2 - x), 5) AS tx, round(avg(y2 - y), 5) AS ty FROM p GROUP BY label")
 def est_translation(spark, sf_dir):
     return pairs(spark, sf_dir).groupBy("label").agg(F.round(F.avg(C("x2") - C("x")), 5).alias("tx"), F.round(F.avg(C("y2") - C("y")), 5).alias("ty"))

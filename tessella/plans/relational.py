@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.operators import pairs as P
+from tessella.operators import scene as N
 from tessella.operators import store as R
 from tessella.plans import query, table
 
@@ -32,10 +33,6 @@ shared(
     "flt_min_matches", "SELECT l_orderkey, CASE WHEN count(*) < 3 THEN [] ELSE list(l_linenumber ORDER BY l_linenumber) END AS m FROM lineitem GROUP BY l_orderkey",
     lambda x: x.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_linenumber")).alias("m")).withColumn("m", F.when(F.size("m") < 3, F.expr("cast(array() AS array<int>)")).otherwise(F.col("m"))), "lineitem",
 )
-shared(
-    "flt_points3d", "SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(*) >= 2 AND avg(l_discount) <= 0.06 AND min(l_tax) >= 0",
-    lambda x: x.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.avg("l_discount").alias("e"), F.min("l_tax").alias("d")).where("n >= 2 AND e <= 0.06 AND d >= 0").select("l_orderkey"), "lineitem",
-)
 shared("flt_aspect", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_partkey // (l_suppkey + 1)) < 20", lambda x: x.where("l_partkey div (l_suppkey + 1) < 20").select("l_orderkey", "l_linenumber"), "lineitem")
 RULES = ((5, 0.02), (10, 0.04), (-1, 0.08), (30, -1.0))
 shared(
@@ -188,3 +185,42 @@ shared("dml_clear", "SELECT r_regionkey AS k, 'again' AS note FROM region", lamb
 shared("idx_points", "SELECT vec_id AS id FROM embeddings WHERE vec_id % 7 <> 0 UNION ALL SELECT vec_id + 1000000 FROM embeddings", lambda e: R.delete(R.insert(e.selectExpr("vec_id AS id"), e.selectExpr("vec_id + 1000000 AS id")), e.where("vec_id % 7 = 0").selectExpr("vec_id AS id"), "id"), "embeddings")
 shared("join_merge_remap", "SELECT c_custkey AS image_id, c_name AS name, c_nationkey::BIGINT AS camera_id FROM customer UNION ALL SELECT s_suppkey + (SELECT max(c_custkey) + 1 FROM customer), s_name, s_nationkey + (SELECT max(c_nationkey) + 1 FROM customer) FROM supplier", lambda c, s: R.merge(c.selectExpr("c_custkey AS image_id", "c_name AS name", "cast(c_nationkey AS bigint) AS camera_id"), s.selectExpr("s_suppkey AS image_id", "s_name AS name", "cast(s_nationkey AS bigint) AS camera_id")), "customer", "supplier")
 shared("store_orphans", "SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)", lambda o, c: R.orphans(o, "o_custkey", c.where("c_acctbal > 0"), "c_custkey").select("o_orderkey"), "orders", "customer")
+
+
+SCENE = "p AS (SELECT p_partkey AS point_id, p_size / 2.0 AS x, (p_partkey % 40)::DOUBLE AS y, p_retailprice / 100.0 AS z, (p_partkey % 9) / 2.0 AS error FROM part), s AS (SELECT DISTINCT l_partkey AS point_id, l_suppkey AS image_id, l_linenumber AS idx FROM lineitem)"
+
+
+def scene(spark, sf_dir):
+    points = table(spark, sf_dir, "part").selectExpr("p_partkey AS point_id", "p_size / 2.0D AS x", "cast(p_partkey % 40 AS double) AS y", "p_retailprice / 100.0D AS z", "(p_partkey % 9) / 2.0D AS error")
+    return points, table(spark, sf_dir, "lineitem").selectExpr("l_partkey AS point_id", "l_suppkey AS image_id", "l_linenumber AS idx").distinct()
+
+
+@query("flt_points3d", f"WITH {SCENE} SELECT point_id FROM p WHERE error <= 2 AND (SELECT count(DISTINCT image_id) FROM s WHERE s.point_id = p.point_id) >= 3")
+def flt_points3d(spark, sf_dir):
+    """Points by error and track length."""
+    return N.filtered(*scene(spark, sf_dir), 2.0, 3).select("point_id")
+
+
+@query("img_ops", f"WITH {SCENE}, l AS (SELECT * FROM s WHERE image_id % 3 <> 0) SELECT point_id, count(*) AS seen FROM l GROUP BY point_id HAVING count(DISTINCT image_id) >= 2")
+def img_ops(spark, sf_dir):
+    """Every third image is deregistered; points that fewer than two others see go with it."""
+    points, seen = scene(spark, sf_dir)
+    left, own = N.without_images(points, seen, table(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").selectExpr("s_suppkey AS image_id"))
+    return left.select("point_id").join(own.groupBy("point_id").agg(F.count(F.lit(1)).alias("seen")), "point_id")
+
+
+@query("model_edit", f"WITH {SCENE}, n AS (SELECT point_id, count(*) AS n FROM s GROUP BY point_id), t AS (SELECT CASE WHEN point_id % 10 = 7 THEN point_id - 1 ELSE point_id END AS t, x, y, z, error, coalesce(n, 0) AS n FROM p LEFT JOIN n USING (point_id)), m AS (SELECT t AS point_id, sum(x * n) / greatest(sum(n), 1) AS x, sum(y * n) / greatest(sum(n), 1) AS y, sum(z * n) / greatest(sum(n), 1) AS z FROM t GROUP BY t), c AS (SELECT * FROM m WHERE x BETWEEN 2 AND 20 AND y BETWEEN 1 AND 38 AND z BETWEEN 0 AND 100000), b AS (SELECT avg(x) AS mx, avg(y) AS my, avg(z) AS mz, 10 / greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) AS k FROM c) SELECT point_id, round(k * (x - mx), 5) + 0.0 AS x, round(k * (y - my), 5) + 0.0 AS y, round(k * (z - mz), 5) + 0.0 AS z FROM c, b")
+def model_edit(spark, sf_dir):
+    """Some points merged into their neighbours, the rest of a box cropped, the model normalised."""
+    points, seen = scene(spark, sf_dir)
+    pairs = points.where("point_id % 10 = 7").select("point_id", (F.col("point_id") - 1).alias("into"))
+    points, seen = N.cropped(*N.merged_points(points, seen, pairs), (2.0, 1.0, 0.0), (20.0, 38.0, 100000.0))
+    return N.normalised(points).select("point_id", *((F.round(c, 5) + 0.0).alias(c) for c in "xyz"))
+
+
+@query("flt_mask", "SELECT vec_id AS id, label AS image_id FROM embeddings e WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey % 10 = label AND p_partkey * 37 % 64 = vec_id * 37 % 64 AND p_partkey * 53 % 48 = vec_id * 53 % 48)")
+def flt_mask(spark, sf_dir):
+    """Keypoints on zero pixels of their image's mask are dropped."""
+    points = table(spark, sf_dir, "embeddings").selectExpr("vec_id AS id", "label AS image_id", "vec_id * 37 % 64 + 0.5D AS x", "vec_id * 53 % 48 + 0.25D AS y")
+    mask = table(spark, sf_dir, "part").selectExpr("p_partkey % 10 AS image_id", "p_partkey * 37 % 64 AS px", "p_partkey * 53 % 48 AS py")
+    return N.unmasked(points, mask).select("id", "image_id")

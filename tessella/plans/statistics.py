@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from tessella.functions import vectors as V
 from tessella.operators import bow as B
 from tessella.operators.order import numbered, running
+from tessella.operators.pairs import ordered
 from tessella.operators import stats as S
 from tessella.plans import query, table
+from tessella.sources.files import new_folder
 
 WORDS, BITS = 16, 32
 
@@ -180,16 +182,41 @@ def words(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").where(F.col("vec_id") < WORDS).select(F.col("vec_id").alias("word_id"), F.col("embedding").alias("centre"))
 
 
+_TABLES: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark, sf_dir, name, build):
+    """A table of the visual index, made and written once a session; every query reads it."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _TABLES:
+        path = new_folder(spark, name)
+        build().write.parquet(path)
+        _TABLES[key] = path
+    return spark.read.parquet(_TABLES[key])
+
+
+def first_words(spark, sf_dir):
+    return stored(spark, sf_dir, "words", lambda: B.assign(descriptors(spark, sf_dir), words(spark, sf_dir)))
+
+
 def posted(spark, sf_dir):
-    a = B.assign(descriptors(spark, sf_dir), words(spark, sf_dir))
-    return B.signatures(a, B.thresholds(a, BITS), BITS).select("feature_id", "image_id", "word_id", "sig")
+    """Postings with their signatures."""
+
+    def build():
+        a = first_words(spark, sf_dir)
+        return B.signatures(a, B.thresholds(a, BITS), BITS).select("feature_id", "image_id", "word_id", "sig")
+
+    return stored(spark, sf_dir, "postings", build)
 
 
 def asked(spark, sf_dir):
     """Queries: the descriptors whose id is divisible by 20, each with its three nearest words."""
-    a = B.assign(descriptors(spark, sf_dir), words(spark, sf_dir))
-    few = B.assign(descriptors(spark, sf_dir).where("feature_id % 20 = 0"), words(spark, sf_dir), 3)
-    return B.signatures(few, B.thresholds(a, BITS), BITS).select("feature_id", F.expr("feature_id div 20").alias("query"), "word_id", "sig")
+
+    def build():
+        few = B.assign(descriptors(spark, sf_dir).where("feature_id % 20 = 0"), words(spark, sf_dir), 3)
+        return B.signatures(few, B.thresholds(first_words(spark, sf_dir), BITS), BITS).select("feature_id", F.expr("feature_id div 20").alias("query"), "word_id", "sig")
+
+    return stored(spark, sf_dir, "asked", build)
 
 
 @query("bow_assign", f"WITH {CTE} SELECT feature_id, word_id FROM a3")
@@ -207,10 +234,11 @@ def bow_index(spark, sf_dir):
     return posted(spark, sf_dir)
 
 
-@query("sort_postings", f"WITH {CTE} SELECT word_id, list(image_id ORDER BY image_id, feature_id) AS images FROM p GROUP BY word_id")
+@query("sort_postings", f"WITH {CTE} SELECT word_id, image_id, feature_id, row_number() OVER (ORDER BY word_id, image_id, feature_id)::BIGINT AS place FROM p")
 def sort_postings(spark, sf_dir):
-    """Posting lists in the order of their images, of one word a row."""
-    return posted(spark, sf_dir).groupBy("word_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("image_id", "feature_id"))), lambda r: r["image_id"]).alias("images"))
+    """Postings as rows in the order of words and images; a word's list may be of any length, as it is not gathered."""
+    p = numbered(posted(spark, sf_dir).select("word_id", "image_id", "feature_id"), "place", "word_id", "image_id", "feature_id")
+    return p.select("word_id", "image_id", "feature_id", F.col("place").cast("long").alias("place"))
 
 
 @query("agg_idf", f"WITH {CTE} SELECT word_id, round(idf, 6) AS idf FROM idf")
@@ -259,14 +287,26 @@ def topk_images(spark, sf_dir):
     return ranked(spark, sf_dir).select("query", "image_id", F.row_number().over(by).alias("place")).where("place <= 5")
 
 
-@query("topk_rerank", f"WITH {CTE}, t AS (SELECT query, image_id, score + image_id % 7 AS score FROM score QUALIFY {RANK} <= 10) SELECT query, image_id, round(score, 6) AS score FROM t QUALIFY {RANK} <= 3")
+@query("topk_rerank", f"WITH {CTE}, b AS (SELECT query, image_id, score FROM score QUALIFY {RANK} <= 10), n AS (SELECT query, b.image_id, count(*) FILTER (list_inner_product(f.x, g.x) >= 0.1) AS n FROM b JOIN d f ON f.feature_id = query * 20 JOIN d g ON g.image_id = b.image_id GROUP BY query, b.image_id), t AS (SELECT query, image_id, score + n AS score FROM b JOIN n USING (query, image_id)) SELECT query, image_id, round(score, 6) AS score FROM t QUALIFY {RANK} <= 3")
 def topk_rerank(spark, sf_dir):
-    """Verified inliers, here a number of the image, are added to the best ten; the best three stay."""
+    """The best ten are verified: each feature of an image that is near enough to the query's adds one to the score. The best three stay."""
     by = W.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "image_id")
-    t = ranked(spark, sf_dir).withColumn("place", F.row_number().over(by)).where("place <= 10").withColumn("score", F.col("score") + F.col("image_id") % 7)
+    best = ranked(spark, sf_dir).withColumn("place", F.row_number().over(by)).where("place <= 10").drop("place")
+    d = descriptors(spark, sf_dir)
+    own, other = d.where("feature_id % 20 = 0").select(F.expr("feature_id div 20").alias("query"), F.col("embedding").alias("x")), d.select("image_id", F.col("embedding").alias("y"))
+    checked = best.join(own, "query").join(other, "image_id").groupBy("query", "image_id").agg(F.count_if(V.dot(F.col("x"), F.col("y")) >= 0.1).alias("n"))
+    t = best.join(checked, ["query", "image_id"]).withColumn("score", F.col("score") + F.col("n"))
     return t.withColumn("place", F.row_number().over(by)).where("place <= 3").select("query", "image_id", F.round("score", 6).alias("score"))
 
 
+@query("join_pairs_vocab", f"WITH {CTE}, t AS (SELECT query * 2 AS a, image_id AS b FROM score QUALIFY {RANK} <= 5) SELECT DISTINCT least(a, b) AS id1, greatest(a, b) AS id2 FROM t WHERE a <> b")
+def join_pairs_vocab(spark, sf_dir):
+    """The image of each query with the five best that the index finds."""
+    by = W.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "image_id")
+    best = ranked(spark, sf_dir).withColumn("place", F.row_number().over(by)).where("place <= 5").select((F.col("query") * 2).alias("a"), F.col("image_id").alias("b"))
+    return ordered(best, "a", "b")
+
+
 @query("ransac_trials", "SELECT s_suppkey, CASE WHEN s_suppkey % 11 = 10 THEN 1 WHEN s_suppkey % 11 = 0 THEN 9223372036854775807 ELSE ceil(ln(0.01) / ln(1 - pow(s_suppkey % 11 / 10.0, 3)) * 3)::BIGINT END AS n FROM supplier")
 def ransac_trials(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", S.trial_count((F.col("s_suppkey") % 11) / 10.0, 3).alias("n"))
