@@ -37,6 +37,8 @@ MOST_BITS = 3
 SMALL_GROUP = 8
 #: Rows of a key that one task compares, and rows of a larger key that all its cells get.
 HOT_GROUP, LEADERS = 2048, 16
+#: The same where rows carry their sets of shingles, which are compared one with many.
+EXACT_GROUP = 256
 #: Bytes of shingles of a key that one task compares.
 CELL_BYTES = 16 << 20
 
@@ -375,7 +377,7 @@ def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_co
     some = placed.where("candidates is not null")
     firsts = some.where(id_of.eqNullSafe(F.col("first_id"))).select("candidates", "fp", text_of(f"row.`{text_col}`").alias("text"))
     sets = materialize(firsts.mapInArrow(spell, "key long, fp binary, shingles binary"), "shingles")
-    exact = linked(sets, loose_bits(similarity), hot_group, similarity)
+    exact = linked(sets, loose_bits(similarity), min(hot_group, EXACT_GROUP), similarity)
     least = named.where("candidates is not null").join(exact, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = materialize(least, "exact-roots")
     least = join_one(least, least.groupBy("root").agg(F.min("first_id").alias("least_id")), "root").select("fp", "least_id")
