@@ -38,7 +38,7 @@ SMALL_GROUP = 8
 #: Rows of a key that one task compares, and rows of a larger key that all its cells get.
 HOT_GROUP, LEADERS = 2048, 16
 #: The same where rows carry their sets of shingles, which are compared one with many.
-EXACT_GROUP = 256
+EXACT_GROUP = 128
 #: Bytes of shingles of a key that one task compares.
 CELL_BYTES = 16 << 20
 
