@@ -44,12 +44,12 @@ def src_idvec_bin(spark, sf_dir):
 
 @query("snk_idvec_bin", "SELECT vec_id AS id, list_transform(embedding, lambda v: round(v::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) + 0.0) AS embedding FROM embeddings WHERE vec_id % 7 <> 3")
 def snk_idvec_bin(spark, sf_dir):
-    """From text `id,f<2>f..`; every seventh vector is one number short and left out."""
+    """From text `id,f<2>f..`; every seventh vector is one number short and left out. Written floats round to 5 places as the numbers do."""
     short = F.when(F.expr("id % 7 = 3"), F.slice("embedding", 1, DIM - 1)).otherwise(F.col("embedding"))
     at = S.new_folder(spark, "idvec-text")
     vectors(spark, sf_dir).select(F.concat(F.col("id").cast("string"), F.lit(","), F.array_join(F.transform(short, lambda v: v.cast("double").cast("string")), "\x02"))).write.text(at)
     parts = spark.read.text(at).select(F.split("value", ",").alias("p")).select(F.get("p", F.lit(0)).alias("id"), F.transform(F.split(F.get("p", F.lit(1)), "\x02"), lambda v: v.cast("float")).alias("embedding"))
-    folder = folder_of(spark, lambda f: X.write_idvec(parts, f, DIM), "idvec")
+    folder = folder_of(spark, lambda f: X.write_idvec(parts, f, DIM, places=5), "idvec")
     return X.read_idvec(spark, folder, DIM).select(F.col("id").cast("long").alias("id"), rounded("embedding", 5).alias("embedding"))
 
 

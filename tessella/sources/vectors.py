@@ -18,8 +18,30 @@ FLOATS = pa.list_(pa.float32())
 DEPTHS = {0: "u1", 1: "i1", 2: "<u2", 3: "<i2", 4: "<i4", 5: "<f4", 6: "<f8"}
 
 
-def write_idvec(vectors: DataFrame, folder: str, dim: int, normalise: bool = True) -> int:
-    """vectors (id, embedding) as files of `n, {length, id, dim, floats}`, one for each partition; vectors of another size are left out. The number of files."""
+def to_floats(x: np.ndarray, places: int | None = None) -> np.ndarray:
+    """The nearest floats. With places, a float that rounds to other decimals than x does (halves away from zero) gives way to the next one on the other side of x.
+
+    Numbers of unit vectors and at most 6 places: there the steps of floats are smaller than those of decimals, so that one rounds as x does.
+    """
+
+    def units(v: np.ndarray) -> np.ndarray:
+        t = v * 10.0**places
+        whole = np.trunc(t)
+        return whole + np.sign(t) * (np.abs(t - whole) >= 0.5)
+
+    out = x.astype("<f4")
+    if places is not None:
+        back = out.astype(np.float64)
+        off = units(back) != units(x)
+        out[off] = np.nextafter(out[off], np.where(back < x, np.inf, -np.inf).astype("<f4")[off])
+    return out
+
+
+def write_idvec(vectors: DataFrame, folder: str, dim: int, normalise: bool = True, places: int | None = None) -> int:
+    """vectors (id, embedding) as files of `n, {length, id, dim, floats}`, one for each partition; vectors of another size are left out. The number of files.
+
+    With places, floats round to so many decimals as the numbers did before they were cut to floats, see to_floats().
+    """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, n = [], 0
@@ -31,7 +53,7 @@ def write_idvec(vectors: DataFrame, folder: str, dim: int, normalise: bool = Tru
                 if normalise:
                     x = x / max(float(np.sqrt(x @ x)), 1e-12)
                 name = str(key).encode()
-                out.append(struct.pack("<i", len(name)) + name + struct.pack("<i", dim) + x.astype("<f4").tobytes())
+                out.append(struct.pack("<i", len(name)) + name + struct.pack("<i", dim) + to_floats(x, places).tobytes())
                 n += 1
         content = struct.pack("<i", n) + b"".join(out)
         yield pa.RecordBatch.from_arrays([pa.array([f"part-{TaskContext.get().partitionId():05}.bin"]), pa.array([content], pa.binary())], names=["name", "content"])

@@ -2,10 +2,12 @@
 
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tessella.operators import catalog as C
 from tessella.operators import indexes as I
 from tessella.operators import knn as K
@@ -126,6 +128,27 @@ def test_wrong_files_are_errors(spark, vectors, tmp_path):
     assert (X.decode_pgm(X.encode_pgm(image, 65535)) == image).all() and (X.decode_pgm(b"P2\n# c\n2 1\n255\n7 9\n") == [[7, 9]]).all()
 
 
+def test_written_floats_keep_their_decimals(spark, tmp_path):
+    """snk_idvec_bin gives the decimals of its SQL, on vectors whose nearest floats round to others, and on halves (3 / 64, 1 / 64)."""
+    r = np.random.default_rng(9)
+    v = r.normal(size=(2000, 64)).astype(np.float32)
+    v[1] = [60, -22, 3, 1, -1, -1] + [0] * 58
+    unit = v.astype(np.float64) / np.sqrt((v.astype(np.float64) ** 2).sum(1, keepdims=True))
+    off = np.round(unit, 5) != np.round(unit.astype(np.float32).astype(np.float64), 5)
+    keep = np.flatnonzero(off.any(1) | (np.arange(2000) == 1))
+    assert len(keep) > 10
+    rows = [(7 * i, v[k].tolist()) for i, k in enumerate(keep)] + [(3, v[0].tolist())]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {x["id"]: list(x["embedding"]) for x in entry.plans.QUERIES["snk_idvec_bin"](spark, str(tmp_path)).collect()}
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert len(got) == len(keep) and got == dict(duck.execute(entry.oracle_sql()["snk_idvec_bin"]).fetchall())
+    near = unit.astype(np.float32)
+    written = X.to_floats(unit, 5)
+    assert (written != near).any() and (np.abs(written - near) <= np.spacing(np.abs(near))).all()  # one step of a float at most
+    assert ((written == near) | off).all() and (X.to_floats(unit) == near).all()
+
+
 def test_store_changes(spark, tmp_path):
     path = f"{tmp_path}/store"
     C.create(spark, path)
