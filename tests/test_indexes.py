@@ -158,3 +158,21 @@ def test_store_changes(spark, tmp_path):
     C.add_column(spark, path, "images", "colour int")
     C.add_column(spark, path, "images", "colour int")
     assert C.exists(spark, path, "images", "colour") and not C.exists(spark, path, "images", "shade")
+
+
+def test_grid_nearest_is_exact(spark):
+    """Clusters, lone points, many at one place and points past the radius, against brute force; join_pairs_spatial compares by cells, not all pairs."""
+    r = np.random.default_rng(4)
+    x = np.concatenate([r.normal(size=(150, 3)), r.normal(size=(100, 3)) * 0.01 + 3, np.repeat([[5.0, 5, 5]], 60, 0), r.uniform(-40, 40, (40, 3)), r.integers(-2, 3, (150, 3))])
+    ids = r.permutation(len(x))
+    points = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "id long, x array<double>")
+    got = K.grid_nearest(points, points.where("id % 3 = 0").select(F.col("id").alias("qid"), "x"), 5, 8.0, 3, digits=6)
+    want = set()
+    for i, v in zip(ids, x, strict=True):
+        if i % 3 == 0:
+            d = ((x - v) ** 2).sum(1)
+            near = [j for j in np.lexsort((ids, np.round(d, 6))) if d[j] <= 64][:5]
+            want |= {(i, ids[j], n + 1) for n, j in enumerate(near)}
+    assert {(r["qid"], r["id"], r["rank"]) for r in got.collect()} == want
+    plan = entry.queries()["join_pairs_spatial"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("MapInArrow|CartesianProduct|NestedLoopJoin", plan)
