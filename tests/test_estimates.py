@@ -3,10 +3,12 @@
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tessella.operators import estimate as E
 from tessella.operators import models as M
+from tessella.plans import estimates as Q
 
 R = np.random.default_rng(3)
 
@@ -116,3 +118,17 @@ def test_hash_and_projection():
     assert np.allclose(p @ p.T, np.eye(16))
     x = R.normal(size=(50, 4))
     assert len(set(M.seeds_plus_plus(x, 6, 1))) == len(set(M.seeds_farthest(x, 6))) == 6 and len(M.seeds_grouped(x, 6, 1)) == 6
+
+
+def made(g):
+    """The rows of a group of the made matches, as the queries have them."""
+    i = np.arange(g * 40, g * 40 + 40)
+    return pd.DataFrame({"id": i, "u": i * 53 % 101 / 101, "v": i * 29 % 97 / 97, "z": i * 71 % 89 / 89})
+
+
+def test_seven_points_that_fix_no_matrix_give_none():
+    """The first seven of group 109 lie so that every matrix of the null space is singular; the next seven give the true one."""
+    _, pose, a, b = Q.views(109, made(109))
+    true = Q.cross(pose[:, 3]) @ pose[:, :3]
+    assert E.fundamental7(a[:7], b[:7]) == []
+    assert min(Q.apart(m, true) for m in E.fundamental7(a[7:14], b[7:14])) < 1e-5
