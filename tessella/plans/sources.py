@@ -286,4 +286,4 @@ def snk_index_flat(spark, sf_dir):
     T.save_index({"vectors": vectors(spark, sf_dir)}, at, "flat", dim=DIM)
     T.save_index({"vectors": vectors(spark, sf_dir).where("id % 2 = 1")}, at, "flat", dim=DIM)
     parts, parameters = T.load_index(spark, at, "flat")
-    return parts["vectors"].select("id", F.round(V.total(V.doubles(F.col("embedding"))), 5).alias("total"), F.lit(parameters["dim"]).alias("dim"))
+    return parts["vectors"].select("id", V.rounded(V.total(V.doubles(F.col("embedding"))), 5).alias("total"), F.lit(parameters["dim"]).alias("dim"))
