@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.functions import text as X
+from tessella.functions import vectors as V
 from tessella.plans import query, table
 
 
@@ -31,7 +32,7 @@ over("str_get_after", "documents", "doc_id", "CASE WHEN contains(text, 'an') THE
 over("str_starts_with", "documents", "doc_id", "starts_with(text, 'The') AS a, false AS b, contains(text, 'the') AS c", lambda: {"a": X.starts_with(F.col("text"), "The"), "b": X.starts_with(F.col("text"), ""), "c": F.contains(F.col("text"), F.lit("the"))})
 over("str_trim", "documents", "doc_id", r"regexp_replace(' ' || text || chr(9) || chr(10), '^[ \n\r\t]+|[ \n\r\t]+$', '', 'g') AS t", lambda: {"t": X.trimmed(F.concat(F.lit(" "), F.col("text"), F.lit("\t\n")))})
 over("str_case_format", "part", "p_partkey", "lower(p_name) AS l, upper(p_name) AS u, format('{:05d}/{}', p_partkey, p_brand) AS f", lambda: {"l": F.lower("p_name"), "u": F.upper("p_name"), "f": F.format_string("%05d/%s", "p_partkey", "p_brand")})
-over("str_csv_vec", "embeddings", "vec_id", "list_transform(embedding, lambda v: round(v::DOUBLE, 5)) AS v", lambda: {"v": F.transform(X.floats(X.csv(F.transform("embedding", lambda v: F.round(v.cast("double"), 5)))), lambda v: v)})
+over("str_csv_vec", "embeddings", "vec_id", "list_transform(embedding, lambda v: round(v::DOUBLE, 5)) AS v", lambda: {"v": F.transform(X.floats(X.csv(F.transform("embedding", lambda v: V.rounded(v, 5)))), lambda v: v)})
 over("str_label_prefix", "part", "p_partkey", "split_part(replace(p_type, ' ', '_'), '_', 1) AS t", lambda: {"t": X.label_prefix(F.replace("p_type", F.lit(" "), F.lit("_")))})
 over(
     "str_basename", "pages", "page_id", r"string_split(url, '/')[-1] AS base, regexp_replace(url, '\.[^./]*$', '') AS stem, regexp_replace(url, '/+$', '') || '/x.txt' AS joined",
