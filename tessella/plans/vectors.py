@@ -25,7 +25,7 @@ def zipped_sum(expression: str, base: str = PAIR) -> str:
 def distance(name, sql, f, positive=False):
     @query(name, sql)
     def run(spark, sf_dir):
-        return pairs(spark, sf_dir, positive).select("vec_id", F.round(f(F.col("x"), F.col("y")), 6).alias("d"))
+        return pairs(spark, sf_dir, positive).select("vec_id", V.rounded(f(F.col("x"), F.col("y")), 6).alias("d"))
 
 
 distance("vec_ip_dist", f"SELECT vec_id, round(1 - list_inner_product(x, y), 6) AS d FROM ({PAIR})", V.ip_dist)
@@ -53,7 +53,7 @@ def vec_vl_distances(spark, sf_dir):
     x, y = F.col("x"), F.col("y")
     scale = F.transform(x, lambda v: F.lit(2.0))
     own = {"js": V.jensen_shannon(x, y), "mahalanobis": V.mahalanobis(x, y, scale)} | {f"k_{k}": V.kernel(k, x, y) for k in ("l1", "l2", "chi2", "hellinger", "js")}
-    return pairs(spark, sf_dir, True).select("vec_id", *(F.round(c, 6).alias(n) for n, c in own.items()))
+    return pairs(spark, sf_dir, True).select("vec_id", *(V.rounded(c, 6).alias(n) for n, c in own.items()))
 
 
 @query("vec_hamming", "SELECT vec_id, bit_count(xor(vec_id * 2654435761, (vec_id + 1) * 2654435761))::INT AS d FROM embeddings")
@@ -66,7 +66,7 @@ def mapped(name, sql, f, positive=False, digits=6):
 
     @query(name, f"SELECT vec_id, list_transform({sql}, lambda v: round(v, {digits})) AS v FROM ({POSITIVE if positive else PAIR})")
     def run(spark, sf_dir):
-        return pairs(spark, sf_dir, positive).select("vec_id", F.transform(V.doubles(f(F.col("x"))), lambda v: F.round(v, digits)).alias("v"))
+        return pairs(spark, sf_dir, positive).select("vec_id", F.transform(V.doubles(f(F.col("x"))), lambda v: V.rounded(v, digits)).alias("v"))
 
 
 NORM = "sqrt(list_inner_product(x, x))"
@@ -82,18 +82,18 @@ mapped("vec_matmul", "list_transform(range(8), lambda r: list_inner_product(x, l
 @query("vec_rootsift", f"""WITH a AS (SELECT vec_id, list_transform(x, lambda v: sqrt(v / (list_sum(x) + 1e-7))) AS r FROM ({POSITIVE}))
     SELECT vec_id, list_transform(r, lambda v: round(v / greatest(sqrt(list_inner_product(r, r)), 1e-12), 6)) AS v FROM a""")
 def vec_rootsift(spark, sf_dir):
-    return pairs(spark, sf_dir).select("vec_id", F.transform(V.root_sift(F.col("x")), lambda v: F.round(v, 6)).alias("v"))
+    return pairs(spark, sf_dir).select("vec_id", F.transform(V.root_sift(F.col("x")), lambda v: V.rounded(v, 6)).alias("v"))
 
 
 @query("vec_residual", f"SELECT vec_id, list_transform(list_zip(x, y), lambda p: round(p[1] - p[2], 6)) AS v FROM ({PAIR})")
 def vec_residual(spark, sf_dir):
-    return pairs(spark, sf_dir).select("vec_id", F.transform(V.residual(F.col("x"), F.col("y")), lambda v: F.round(v, 6)).alias("v"))
+    return pairs(spark, sf_dir).select("vec_id", F.transform(V.residual(F.col("x"), F.col("y")), lambda v: V.rounded(v, 6)).alias("v"))
 
 
 @query("sift_angle_dist", f"SELECT vec_id, round(acos(least(list_inner_product(list_transform(x, lambda v: v * 512), list_transform(y, lambda v: v * 512)) / 262144.0, 1)), 6) AS d FROM ({PAIR})")
 def sift_angle_dist(spark, sf_dir):
     x, y = (F.transform(c, lambda v: v * 512) for c in ("x", "y"))
-    return pairs(spark, sf_dir).select("vec_id", F.round(V.sift_angle(x, y), 6).alias("d"))
+    return pairs(spark, sf_dir).select("vec_id", V.rounded(V.sift_angle(x, y), 6).alias("d"))
 
 
 @query("bits_from_thresholds", f"SELECT vec_id, list_sum(list_transform(range(32), lambda i: CASE WHEN x[i + 1] > y[i + 1] THEN (1 << i)::BIGINT ELSE 0 END))::BIGINT AS bits FROM ({PAIR})")
@@ -103,4 +103,4 @@ def bits_from_thresholds(spark, sf_dir):
 
 @query("hamming_weight", "SELECT vec_id, round(CASE WHEN vec_id % 65 <= 24 THEN exp(-((vec_id % 65) * (vec_id % 65)) / 256.0) ELSE 0 END, 6) AS w FROM embeddings")
 def hamming_weight(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(V.hamming_weight(F.col("vec_id") % 65), 6).alias("w"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", V.rounded(V.hamming_weight(F.col("vec_id") % 65), 6).alias("w"))
