@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+import __spark_entry__ as entry
 from tessella.operators import estimate as E
 from tessella.operators import models as M
 from tessella.plans import estimates as Q
@@ -130,5 +131,14 @@ def test_seven_points_that_fix_no_matrix_give_none():
     """The first seven of group 109 lie so that every matrix of the null space is singular; the next seven give the true one."""
     _, pose, a, b = Q.views(109, made(109))
     true = Q.cross(pose[:, 3]) @ pose[:, :3]
-    assert E.fundamental7(a[:7], b[:7]) == []
+    assert E.fundamental7(a[:7], b[:7], fixed=True) == []
+    assert all(E.sampson_errors(m, a[:7], b[:7]).max() < 1e-20 for m in E.fundamental7(a[:7], b[:7]))
     assert min(Q.apart(m, true) for m in E.fundamental7(a[7:14], b[7:14])) < 1e-5
+
+
+def test_unrelated_matches_are_degenerate(spark, tmp_path):
+    """Group 152, of 21 matches that shared a fundamental matrix by the way they were made; by the SQL they have nothing to do with each other."""
+    keys = [(i,) for g in (150, 151, 152, 470, 471) for i in range(g * 40, g * 40 + 40)]
+    spark.createDataFrame(keys, "p_partkey long").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    got = dict(entry.queries()["two_view"](spark, str(tmp_path)).collect())
+    assert got == {150: "planar_or_panoramic", 151: "calibrated", 152: "degenerate", 470: "degenerate", 471: "planar_or_panoramic"}
