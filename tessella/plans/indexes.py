@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators import indexes as I
 from tessella.operators import knn as K
+from tessella.operators.order import numbered
 from tessella.plans import query, table
 from tessella.plans.models import LISTS
 from tessella.plans.search import index as stored_index
@@ -63,12 +64,10 @@ def agg_merge_topk(spark, sf_dir):
 @query("idx_mpi", f"WITH {L2}, n AS (SELECT id, row_number() OVER (ORDER BY id % 3, id) - 1 AS place FROM db), p AS (SELECT qid, place AS id, dist FROM l2 JOIN n USING (id)) {TOP.format('p', 3)}")
 def idx_mpi(spark, sf_dir):
     """Three shards, each with local numbers from 0; what a shard finds is moved by the sizes of the shards before it."""
-    from pyspark.sql import Window as W
-
     e, first, found = db(spark, sf_dir), 0, []
     for shard in range(3):
         own = e.where(F.col("id") % 3 == shard)
-        local = own.select((F.row_number().over(W.partitionBy(F.lit(shard)).orderBy("id")) - 1).cast("long").alias("id"), "embedding")  # a shard is what one node holds
+        local = numbered(own, "place", "id").select((F.col("place") - 1).cast("long").alias("id"), "embedding")  # range by range, so that a shard stays in many tasks
         found.append(K.knn(local, qs(spark, sf_dir), 3, "l2sq").drop("rank").withColumn("id", F.col("id") + first))
         first += own.count()
     return shown(K.top_k(reduce(lambda a, b: a.unionByName(b), found), 3))

@@ -13,6 +13,7 @@ from tessella.operators import indexes as I
 from tessella.operators import knn as K
 from tessella.operators import models as M
 from tessella.operators import order as O
+from tessella.operators.scores import Coded
 from tessella.sources import files as S
 from tessella.sources import tables as T
 from tessella.sources import vectors as X
@@ -176,3 +177,52 @@ def test_grid_nearest_is_exact(spark):
     assert {(r["qid"], r["id"], r["rank"]) for r in got.collect()} == want
     plan = entry.queries()["join_pairs_spatial"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("MapInArrow|CartesianProduct|NestedLoopJoin", plan)
+
+
+def test_scores_by_codes_stay_in_their_tasks(spark, vectors, queries):
+    """Least scores, sums, the best and all pairs against brute force; items of ten lie in several batches; no plan joins pairs."""
+    centres = np.array([r[0] for r in vectors.orderBy("id").limit(4).select("embedding").collect()])
+    books = np.random.default_rng(2).normal(size=(4, 8, 2))
+    table = I.InvertedLists.encoded(vectors, centres, books).select(F.expr("id div 10").alias("key"), "id", "list_id", "code")
+    own = Coded(table, queries, centres, books, 2)
+    want: dict = {}
+    for q in queries.collect():
+        d = ((np.array(q["embedding"]) - centres) ** 2).sum(1)
+        for r in table.collect():
+            if r["list_id"] in np.argsort(d, kind="stable")[:2]:
+                rest = np.array(q["embedding"]) - centres[r["list_id"]]
+                want[q["qid"], r["id"]] = sum(((rest[2 * s : 2 * s + 2] - books[s][c]) ** 2).sum() for s, c in enumerate(r["code"]))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {(r["qid"], r["id"]): r["score"] for r in own.pairs(9).collect()}
+        least = {(r["qid"], r["key"]): r["d"] for r in own.least(20.0, 9).collect()}
+        sums = {r["key"]: (r["s"], r["n"]) for r in own.sums(20.0).collect()}
+        best = {r["qid"]: r["m"]["id"] for r in own.best().groupBy("qid").agg(F.min(F.struct(F.round("score", 9).alias("s"), "id")).alias("m")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-8 for k, v in want.items())
+    by: dict = {}
+    for (q, i), v in want.items():
+        by[q, i // 10] = min(v, by.get((q, i // 10), 20.0))
+    assert least.keys() == by.keys() and all(abs(least[k] - v) < 1e-8 for k, v in by.items())
+    assert all(abs(s - sum(v for (_, k), v in by.items() if k == key)) < 1e-6 and n == sum(k == key for _, k in by) for key, (s, n) in sums.items()) and len(sums) == 40
+    assert all(best[q] == min((round(v, 9), i) for (p, i), v in want.items() if p == q)[1] for q in best) and len(best) == 20
+    for f in (own.pairs(6), own.least(1.0, 6), own.sums(1.0), own.best()):
+        assert "Join" not in f._jdf.queryExecution().executedPlan().toString()
+
+
+def test_distances_by_products_pick_what_differences_do(spark):
+    """Copies, near copies far from the origin and ties, by k, by radius and by the farthest."""
+    r = np.random.default_rng(5)
+    x = np.concatenate([r.normal(size=(300, 16)) + 1000, r.integers(0, 2, (300, 16))]).astype(float)
+    x[1::7] = x[0:-1:7][: len(x[1::7])]
+    for q in (x[:40], x[300:340]):
+        for pick in (lambda row, slack: np.flatnonzero(row <= np.partition(row, 4)[4] + 1e-9 + slack), lambda row, slack: np.flatnonzero(row < 3 + slack)):
+            places, near = K.picked(q, x, pick, "l2sq")
+            full = K.distances(q, x, "l2sq")
+            assert all((p == pick(row, 0.0)).all() and (d == row[p]).all() for p, d, row in zip(places, near, full, strict=True))
+
+
+def test_shards_stay_in_many_tasks(spark):
+    plan = entry.queries()["idx_mpi"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+    assert "windowspecdefinition(0" not in plan and "windowspecdefinition(1" not in plan
