@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tessella.operators import bow as B
 from tessella.operators import catalog as C
 from tessella.operators import indexes as I
 from tessella.operators import knn as K
@@ -226,3 +227,37 @@ def test_distances_by_products_pick_what_differences_do(spark):
 def test_shards_stay_in_many_tasks(spark):
     plan = entry.queries()["idx_mpi"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
     assert "windowspecdefinition(0" not in plan and "windowspecdefinition(1" not in plan
+
+
+def test_scores_by_words_stay_in_their_tasks(spark):
+    """Feature scores, whole scores and the best three against brute force; postings without a signature don't vote; no plan joins pairs."""
+    r = np.random.default_rng(6)
+    postings = [(int(i), int(i) // 6, int(r.integers(0, 5)), None if i % 11 == 0 else int(r.integers(0, 1 << 32))) for i in range(300)]
+    asked = [(f // 20, f, int(w), int(r.integers(0, 1 << 32))) for f in range(0, 400, 10) for w in r.choice(5, 2, replace=False)]
+    p, q = spark.createDataFrame(postings, "feature_id long, image_id long, word_id long, sig long"), spark.createDataFrame(asked, "query long, feature_id long, word_id long, sig long")
+    images = {i for _, i, _, _ in postings}
+    idf = {w: np.log(len(images) / len({i for _, i, v, _ in postings if v == w})) for w in range(5)}
+    fs, whole = {}, {}
+    for name, f, w, s in asked:
+        for image in images:
+            apart = [(s ^ t).bit_count() for _, i, v, t in postings if i == image and v == w and t is not None]
+            votes = [np.exp(-(d * d) / 256) for d in apart if d <= 24]
+            if votes:
+                fs[name, f, w, image] = idf[w] ** 2 * sum(votes) / np.sqrt(len(votes))
+    for (name, _, _, image), s in fs.items():
+        own, other = (sum(idf[w] ** 2 for w in words) for words in ([w for n, _, w, _ in asked if n == name], [w for _, i, w, _ in postings if i == image]))
+        whole[name, image] = whole.get((name, image), 0) + s / np.sqrt(own) / np.sqrt(other)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        scored = B.scored(q, p)
+        got = {tuple(r)[:4]: r["s"] for r in scored.features(9).collect()}
+        pairs = {(r["query"], r["image_id"]): r["score"] for r in scored.pairs(9).collect()}
+        best = {(r["query"], r["place"]): r["image_id"] for r in scored.best(3).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got.keys() == fs.keys() and all(abs(got[k] - v) < 1e-8 for k, v in fs.items())
+    assert pairs.keys() == whole.keys() and all(abs(pairs[k] - v) < 1e-8 for k, v in whole.items())
+    for name in {n for n, _ in whole}:
+        top = sorted((-round(v, 9), i) for (n, i), v in whole.items() if n == name)[:3]
+        assert [best[name, n + 1] for n in range(3)] == [i for _, i in top]
+    assert not any("Join" in f._jdf.queryExecution().executedPlan().toString() for f in (scored.features(6), scored.pairs(6), scored.best(3)))
