@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tessella.functions import vectors as V
+from tessella.operators import indexes as I
 
 
 @pytest.fixture(scope="module")
@@ -46,3 +47,30 @@ def test_sums_of_a_row_are_computed_once(spark):
     began = time.perf_counter()
     df.select(V.root_sift(F.col("x")).alias("v")).write.format("noop").mode("overwrite").save()
     assert time.perf_counter() - began < 15
+
+
+def test_tracks_and_images_are_counted_without_pairs(spark, tmp_path):
+    """agg_model_stats against its SQL with null keys; no group of (order, supplier) is made."""
+    rows = [(o, s, d) for o, s, d in [(1, 1, 0.1), (1, 1, 0.2), (2, 1, None), (None, 2, 0.4), (3, None, 0.0), (3, 2, 0.05)]]
+    spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_discount double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = entry.queries()["agg_model_stats"](spark, str(tmp_path))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert [tuple(r) for r in out.collect()] == c.execute(entry.oracle_sql()["agg_model_stats"]).fetchall()
+    assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_of_bit_strings_are_not_shuffled_to_be_distinct(spark):
+    """Rows that meet at several tables count once, against brute force, on bit strings of two longs."""
+    r = np.random.default_rng(8)
+    rows = [(i, [int(v) for v in r.integers(-(1 << 62), 1 << 62, 2)]) for i in range(60)]
+    rows += [(60 + i, [b[0] ^ (1 << 63) - 1 & 5, b[1] ^ (-1 << 63)]) for i, b in rows]
+    df = spark.createDataFrame(rows, "id long, bits array<long>")
+    index = I.BitSampling(df, 128, tables=3, key_bits=8, seed=2)
+    found = index.search(df.where("id % 20 = 0").select(F.col("id").alias("qid"), "bits"), 200, 1)
+    bits = {i: sum((w & (1 << 64) - 1) << 64 * n for n, w in enumerate(b)) for i, b in rows}
+    masks = [sum(1 << p for p in places) for places in index.positions]
+    want = {(q, i, float((bits[q] ^ bits[i]).bit_count())) for q in bits if q % 20 == 0 for i in bits if any(((bits[q] ^ bits[i]) & m).bit_count() <= 1 for m in masks)}
+    got = [tuple(v)[:3] for v in found.collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert "Deduplicate" not in found._jdf.queryExecution().analyzed().toString() and "Distinct" not in found._jdf.queryExecution().analyzed().toString()
